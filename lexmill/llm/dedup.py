@@ -1,4 +1,339 @@
-"""To come."""
+"""Near-duplicate documents by SetSketch registers, confirmed on full shingle sets.
 
-QUERIES: dict = {}
+1. A document's set is its distinct five-word shingles, as 64-bit hashes. Its sketch
+   has REGISTERS registers: the minimum of an exponential variate over the set, scaled
+   by powers of BASE and truncated to a byte. Sketches merge by maximum. Documents with
+   equal sets are one node from here on.
+2. Each of BANDS bands of WIDTH registers puts a node in a bucket. A bucket's
+   representative is its smallest node in an order of the band's own, so that members
+   of a large group meet many different representatives. Candidates are (member,
+   representative): linear in the members, however large a bucket is.
+3. Sketches estimate the similarity of a candidate jointly, by the likelihood of the
+   counts of larger, equal and smaller registers; candidates far below the threshold
+   go. Each member's best ones are confirmed on full sets; of the others, those whose
+   ends are not connected by then. Confirmed links are joined to components.
+4. Buckets whose members besides the representative are still in several components
+   are compared inside, outsiders against all, in blocks of bounded size, and
+   confirmed likewise. So no link between two nodes that share a bucket gets lost.
+
+A pair at the threshold shares no bucket with a chance of about 6e-7. Sets travel only
+for nodes that have a candidate. Components are found by alternating large-star and
+small-star steps over edges in the shared scratch folder.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from lexmill.session import materialise
+from lexmill.sources.tables import table
+
+SHINGLE = 5
+THRESHOLD = 75
+BANDS, WIDTH, REGISTERS = 48, 5, 256
+BASE, RATE, TOP = 1.125, 20.0, 255
+#: Candidates whose estimated similarity is below this are not confirmed: 3.9 standard errors under the threshold.
+CUT = 0.645
+#: Best candidates of a member that are confirmed first.
+FIRST = 2
+#: Rows of a block in a comparison within a bucket.
+BLOCK = 1000
+#: Ids up to this many are broadcast (16 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+WORDS = 400_000
+
+_rng = np.random.Generator(np.random.PCG64(20))
+_XOR = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)[:, None]
+_MUL = (_rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1))[:, None]
+_PLACE = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
+_words: dict[bytes, int] = {}
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's five-word shingles; of the whole sequence if it has fewer words."""
+    words = (text or "").encode().lower().split()
+    n = len(words)
+    if n < SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=n)][: bool(n)], np.uint64)
+    hashes = list(map(_words.get, words))
+    if None in hashes:
+        for i, h in enumerate(hashes):
+            if h is None:
+                hashes[i] = h = xxhash.xxh64_intdigest(words[i])
+                if len(_words) < WORDS and len(words[i]) < 64:
+                    _words[words[i]] = h
+    w = np.fromiter(hashes, np.uint64, n)
+    total = w[: n - SHINGLE + 1] * _PLACE[0]
+    for k in range(1, SHINGLE):
+        total += w[k : n - SHINGLE + 1 + k] * _PLACE[k]
+    total ^= total >> np.uint64(32)
+    return np.unique(total)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The registers of a set of hashes."""
+    small = (hashes ^ (hashes >> np.uint64(29))).astype(np.uint32)
+    least = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
+    buffer = np.empty((REGISTERS, min(256, len(small) or 1)), np.uint32)
+    for at in range(0, len(small), 256):
+        part = small[at : at + 256]
+        held = buffer[:, : len(part)]
+        np.bitwise_xor(part[None, :], _XOR, out=held)
+        np.multiply(held, _MUL, out=held)
+        np.minimum(least, held.min(axis=1), out=least)
+    x = -np.log1p(-(least + 0.5) / 4294967296.0) / RATE
+    return np.clip(np.floor(1.0 - np.log(x) / np.log(BASE)), 0, TOP).astype(np.uint8)
+
+
+def _share(x: np.ndarray) -> np.ndarray:
+    return -np.log1p(-x * (BASE - 1.0) / BASE) / np.log(BASE)
+
+
+def likely(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, cut: float = CUT) -> np.ndarray:
+    """Whether the maximum-likelihood similarity is at least cut, given register comparisons and set sizes.
+
+    The log-likelihood is concave in the similarity, so its slope at cut decides. Sizes alone bound the similarity from above.
+    """
+    n_a, n_b = n_a.astype(float), n_b.astype(float)
+    u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
+    fits = np.minimum(u, v) * 100 >= np.maximum(u, v) * THRESHOLD - 1e-9
+    at = np.minimum(cut, np.minimum(u / v, v / u) * (1 - 1e-9))
+    step = 1e-6
+
+    def log_likelihood(j: np.ndarray) -> np.ndarray:
+        up, down = _share(u - v * j), _share(v - u * j)
+        equal = REGISTERS - larger - smaller
+        tiny = 1e-300
+        return larger * np.log(np.maximum(up, tiny)) + smaller * np.log(np.maximum(down, tiny)) + equal * np.log(np.maximum(1.0 - up - down, tiny))
+
+    return fits & (log_likelihood(at) >= log_likelihood(at - step))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n, digest of the set and sketch; digest and sketch of an empty set are null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, digests, held = [], [], []
+            for text in batch.column(1):
+                s = shingle_set(text.as_py())
+                n.append(len(s))
+                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                held.append(sketch(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(held, pa.binary())], ["doc_id", "n", "digest", "sketch"])
+
+    return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id long, n long, digest binary, sketch binary")
+
+
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(key, node) for every band of every node."""
+    places = np.int64(256) ** np.arange(WIDTH, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = _matrix(batch.column(1))[:, : BANDS * WIDTH].reshape(-1, BANDS, WIDTH).astype(np.int64)
+            keys = (m @ places) + (np.arange(BANDS, dtype=np.int64) << 40)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "node"])
+
+    return nodes.select("node", "sketch").mapInArrow(run, "key long, node long")
+
+
+def _salt(key: Column) -> Column:
+    """The band's own order of nodes: an exclusive or with a number of its own."""
+    return F.xxhash64(F.shiftright(key, 40)).bitwiseAND(F.lit((1 << 62) - 1))
+
+
+def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (node, rep) that are likely similar, with the number of equal registers."""
+    info = nodes.select("node", "n", "sketch")
+    joined = pairs.join(info, "node").join(info.select(F.col("node").alias("rep"), F.col("n").alias("rep_n"), F.col("sketch").alias("rep_sketch")), "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            a, b = _matrix(col["sketch"]), _matrix(col["rep_sketch"])
+            larger, smaller = (a > b).sum(1), (a < b).sum(1)
+            ok = likely(larger, smaller, col["n"].to_numpy(), col["rep_n"].to_numpy())
+            out = pa.RecordBatch.from_arrays([col["node"], col["rep"], pa.array((REGISTERS - larger - smaller).astype(np.int32))], ["node", "rep", "same"])
+            yield out.filter(pa.array(ok))
+
+    return joined.select("node", "rep", "n", "rep_n", "sketch", "rep_sketch").mapInArrow(run, "node long, rep long, same int")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (node, rep) whose full sets are linked."""
+    joined = pairs.select("node", "rep").join(sets.select("node", "shingles"), "node").join(sets.select(F.col("node").alias("rep"), F.col("shingles").alias("rep_shingles")), "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            ok = []
+            for a, b in zip(col["shingles"], col["rep_shingles"], strict=True):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                at = np.searchsorted(x, y)
+                common = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+                ok.append(100 * common >= THRESHOLD * (len(x) + len(y) - common))
+            out = pa.RecordBatch.from_arrays([col["node"], col["rep"]], ["node", "rep"])
+            yield out.filter(pa.array(ok, pa.bool_()))
+
+    return joined.select("node", "rep", "shingles", "rep_shingles").mapInArrow(run, "node long, rep long")
+
+
+def components(links: DataFrame, a: str = "node", b: str = "rep") -> DataFrame:
+    """(node, comp) for every node of a link: comp is the smallest node reachable. Alternating large-star and small-star steps."""
+    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
+    edges = materialise(edges, "edges")
+    mark = None
+    while True:
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).filter("u <> v").distinct()
+        edges = materialise(small, "edges")
+        now = edges.agg(F.count("u"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 30) - 1)))).first()
+        if mark == now:
+            break
+        mark = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+def _label(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    """rows with the component of column node, which is the node itself if it has no link."""
+    known = labels.select(F.col("node").alias(node), F.col("comp").alias("__comp"))
+    return rows.join(known, node, "left").withColumn(name, F.coalesce("__comp", node)).drop("__comp")
+
+
+def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    return _label(_label(pairs, labels, "node", "__a"), labels, "rep", "__b").filter("__a <> __b").select("node", "rep")
+
+
+def _inside(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Likely pairs of different components within buckets, none of them its bucket's representative."""
+    rows = _label(_label(members.filter("node <> rep"), labels, "node", "comp"), labels, "rep", "main")
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g"), F.count(F.when(F.col("comp") != F.col("main"), 1)).alias("k")).filter("lo <> hi")
+    rows = rows.join(mixed.select("key", "g", "k"), "key")
+    out, blocks = F.col("comp") != F.col("main"), lambda n: F.ceil(n / F.lit(BLOCK))
+    outer, inner = blocks(F.col("k")), blocks(F.col("g") - F.col("k"))
+    rows = rows.select("key", "node", "comp", out.alias("out"), outer.alias("outer"), inner.alias("inner"))
+    own = F.when(F.col("out"), F.pmod(F.xxhash64("node"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.xxhash64("node"), F.greatest(F.col("inner"), F.lit(1))))
+    last = F.when(F.col("out"), F.col("outer") + F.col("inner") - 1).otherwise(F.col("outer") - 1)
+    rows = rows.select("key", "node", "comp", own.cast("long").alias("own"), last.alias("last"))
+    rows = rows.select("key", "node", "comp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))).alias("other"))
+    rows = rows.select("key", "node", "comp", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    rows = rows.join(nodes.select("node", "n", "sketch"), "node")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, REGISTERS)
+        node, comp, n, own = (pdf[c].to_numpy() for c in ("node", "comp", "n", "own"))
+        x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
+        band = int(pdf["key"].iloc[0]) >> 40
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        found = []
+        for at in range(0, len(left), 32):
+            i, j = (z.ravel() for z in np.meshgrid(left[at : at + 32], right, indexing="ij"))
+            ok = comp[i] != comp[j]
+            if x == y:
+                ok &= i < j
+            i, j = i[ok], j[ok]
+            for part in range(0, len(i), 8192):
+                p, q = i[part : part + 8192], j[part : part + 8192]
+                a, b = m[p], m[q]
+                equal = (a == b)[:, : BANDS * WIDTH].reshape(-1, BANDS, WIDTH).all(2)
+                first = equal.argmax(1) == band
+                p, q, a, b = p[first], q[first], a[first], b[first]
+                ok = likely((a > b).sum(1), (a < b).sum(1), n[p], n[q])
+                found.append(np.stack([node[p[ok]], node[q[ok]]], 1))
+        pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        return pd.DataFrame({"node": pairs[:, 0], "rep": pairs[:, 1]})
+
+    return rows.groupBy("key", "x", "y").applyInPandas(run, "node long, rep long")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id and kept.
+
+    A null or empty text, or one of white space, has an empty set, is linked with
+    nothing and is its own component. Equal texts, and repeated rows, are linked with
+    each other. A row without id is linked only with rows of an equal set and never
+    names a component; if none of those has an id, its component_id is null, and it is
+    kept, since nothing can stand for it. Other columns are not read and may have any name. No rows: no rows.
+    """
+    held = materialise(sketches(docs, id_col, text_col), "sketches")
+    distinct = held.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("n", "sketch")).alias("s"))
+    nodes = materialise(distinct.select(F.monotonically_increasing_id().alias("node"), "digest", "first_id", "s.n", "s.sketch"), "nodes")
+    keyed = _buckets(nodes)
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min(F.col("node").bitwiseXOR(_salt(F.col("key")))).alias("m")).filter("g > 1")
+    members = materialise(keyed.join(buckets.select("key", F.col("m").bitwiseXOR(_salt(F.col("key"))).alias("rep")), "key"), "members")
+    stars = materialise(_estimated(members.filter("node <> rep").select("node", "rep").distinct(), nodes), "stars")
+    sets = _sets(docs, held, nodes, members, id_col, text_col)
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("same"), "rep"))
+    ranked = stars.withColumn("__at", best)
+    links = materialise(_confirmed(ranked.filter(F.col("__at") <= FIRST), sets), "links")
+    labels = materialise(components(links), "labels")
+    more = materialise(_confirmed(_crossing(ranked.filter(F.col("__at") > FIRST), labels), sets), "links")
+    links = links.union(more)
+    labels = materialise(components(links), "labels")
+    rest = materialise(_confirmed(_inside(members, nodes, labels), sets), "links")
+    labels = materialise(components(links.union(rest)), "labels")
+    named = _label(nodes.select("node", "digest", "first_id"), labels, "node", "comp")
+    ids = named.groupBy("comp").agg(F.min("first_id").alias("component"))
+    by_digest = named.join(ids, "comp").select("digest", "component")
+    joined = held.select("doc_id", "n", "digest").join(by_digest, "digest", "left")
+    component = F.coalesce("component", "doc_id")
+    return joined.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def _few(frame: DataFrame) -> DataFrame:
+    """A broadcast of a narrow table of ids if it is small enough; itself otherwise."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_IDS else frame
+
+
+def _sets(docs: DataFrame, held: DataFrame, nodes: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles) of all nodes that have a candidate, from the texts of their first documents."""
+    asked = members.select("node").distinct()
+    wanted = materialise(nodes.join(asked, "node").select("node", "digest", F.col("first_id").alias("doc_id")), "wanted")
+    texts = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").join(_few(wanted.select("node", "digest", "doc_id")), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, digest, text = (batch.column(i) for i in range(3))
+            sets, ok = [], []
+            for t, d in zip(text, digest, strict=True):
+                s = shingle_set(t.as_py())
+                ok.append(len(s) > 0 and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d.as_py())
+                sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([node, pa.array(sets, pa.binary())], ["node", "shingles"]).filter(pa.array(ok, pa.bool_()))
+
+    return materialise(texts.select("node", "digest", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that groups() keeps, with all their columns."""
+    gone = materialise(groups(docs, id_col, text_col).filter("not kept").select(id_col).distinct(), "dropped")
+    return docs.join(_few(gone), id_col, "left_anti").select(*docs.columns)
+
+
+def op4_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_setsketch_dedup": op4_setsketch_dedup}
+#: A set-similarity join over all documents is too slow in plain SQL; the query is tested against brute force.
 ORACLES: dict[str, str] = {}
