@@ -13,8 +13,9 @@
    go. Each member's best ones are confirmed on full sets; of the others, those whose
    ends are not connected by then. Confirmed links are joined to components.
 4. Buckets whose members besides the representative are still in several components
-   are compared inside, outsiders against all, in blocks of bounded size, and
-   confirmed likewise. So no link between two nodes that share a bucket gets lost.
+   are compared inside, outsiders against all, in blocks of bounded size. Rounds
+   confirm the likeliest pairs of each outsider first; the last one takes all that
+   are left. So no link between two nodes that share a bucket gets lost.
 
 A pair at the threshold shares no bucket with a chance of about 6e-7. Sets travel only
 for nodes that have a candidate. Components are found by alternating large-star and
@@ -46,9 +47,11 @@ BASE, RATE, TOP = 1.125, 20.0, 255
 CUT = 0.645
 #: Best candidates of a member that are confirmed first.
 FIRST = 2
+#: Likeliest pairs of an outsider in a bucket and block that the rounds confirm; 0: all.
+ROUNDS = (1, 4, 0)
 #: Rows of a block in a comparison within a bucket.
 BLOCK = 1000
-#: Ids up to this many are broadcast (16 MB); more are joined by a shuffle.
+#: Rows of two numbers up to this many are broadcast (about 40 MB in memory); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 WORDS = 400_000
 
@@ -224,24 +227,24 @@ def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return _label(_label(pairs, labels, "node", "__a"), labels, "rep", "__b").filter("__a <> __b").select("node", "rep")
 
 
-def _inside(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Likely pairs of different components within buckets, none of them its bucket's representative."""
+def _inside(members: DataFrame, nodes: DataFrame, labels: DataFrame, most: int = 0) -> DataFrame:
+    """Likely pairs of different components within buckets, none of them its bucket's representative; an outsider's ``most`` likeliest ones."""
     rows = _label(_label(members.filter("node <> rep"), labels, "node", "comp"), labels, "rep", "main")
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g"), F.count(F.when(F.col("comp") != F.col("main"), 1)).alias("k")).filter("lo <> hi")
     rows = rows.join(mixed.select("key", "g", "k"), "key")
-    out, blocks = F.col("comp") != F.col("main"), lambda n: F.ceil(n / F.lit(BLOCK))
+    outside, blocks = F.col("comp") != F.col("main"), lambda n: F.ceil(n / F.lit(BLOCK))
     outer, inner = blocks(F.col("k")), blocks(F.col("g") - F.col("k"))
-    rows = rows.select("key", "node", "comp", out.alias("out"), outer.alias("outer"), inner.alias("inner"))
+    rows = rows.select("key", "node", "comp", outside.alias("out"), outer.alias("outer"), inner.alias("inner"))
     own = F.when(F.col("out"), F.pmod(F.xxhash64("node"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.xxhash64("node"), F.greatest(F.col("inner"), F.lit(1))))
     last = F.when(F.col("out"), F.col("outer") + F.col("inner") - 1).otherwise(F.col("outer") - 1)
-    rows = rows.select("key", "node", "comp", own.cast("long").alias("own"), last.alias("last"))
-    rows = rows.select("key", "node", "comp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))).alias("other"))
-    rows = rows.select("key", "node", "comp", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    rows = rows.select("key", "node", "comp", "out", own.cast("long").alias("own"), last.alias("last"))
+    rows = rows.select("key", "node", "comp", "out", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))).alias("other"))
+    rows = rows.select("key", "node", "comp", "out", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     rows = rows.join(nodes.select("node", "n", "sketch"), "node")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, REGISTERS)
-        node, comp, n, own = (pdf[c].to_numpy() for c in ("node", "comp", "n", "own"))
+        node, comp, n, own, out = (pdf[c].to_numpy() for c in ("node", "comp", "n", "own", "out"))
         x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
         band = int(pdf["key"].iloc[0]) >> 40
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
@@ -258,10 +261,17 @@ def _inside(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFram
                 equal = (a == b)[:, : BANDS * WIDTH].reshape(-1, BANDS, WIDTH).all(2)
                 first = equal.argmax(1) == band
                 p, q, a, b = p[first], q[first], a[first], b[first]
-                ok = likely((a > b).sum(1), (a < b).sum(1), n[p], n[q])
-                found.append(np.stack([node[p[ok]], node[q[ok]]], 1))
-        pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"node": pairs[:, 0], "rep": pairs[:, 1]})
+                larger, smaller = (a > b).sum(1), (a < b).sum(1)
+                ok = likely(larger, smaller, n[p], n[q])
+                found.append(np.stack([p[ok], q[ok], (larger + smaller)[ok]], 1))
+        pairs = pd.DataFrame(np.concatenate(found) if found else np.empty((0, 3), np.int64), columns=["p", "q", "differ"])
+        if most and len(pairs):
+            pairs = pairs.sort_values("differ", kind="stable")
+            near = pairs.groupby("p").cumcount() < most
+            if out[right].any():
+                near |= pairs.groupby("q").cumcount() < most
+            pairs = pairs[near]
+        return pd.DataFrame({"node": node[pairs["p"].to_numpy()], "rep": node[pairs["q"].to_numpy()]})
 
     return rows.groupBy("key", "x", "y").applyInPandas(run, "node long, rep long")
 
@@ -280,7 +290,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     nodes = materialise(distinct.select(F.monotonically_increasing_id().alias("node"), "digest", "first_id", "s.n", "s.sketch"), "nodes")
     keyed = _buckets(nodes)
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min(F.col("node").bitwiseXOR(_salt(F.col("key")))).alias("m")).filter("g > 1")
-    members = materialise(keyed.join(buckets.select("key", F.col("m").bitwiseXOR(_salt(F.col("key"))).alias("rep")), "key"), "members")
+    buckets = materialise(buckets.select("key", F.col("m").bitwiseXOR(_salt(F.col("key"))).alias("rep")), "buckets")
+    members = materialise(keyed.join(_few(buckets), "key"), "members")
     stars = materialise(_estimated(members.filter("node <> rep").select("node", "rep").distinct(), nodes), "stars")
     sets = _sets(docs, held, nodes, members, id_col, text_col)
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("same"), "rep"))
@@ -290,8 +301,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     more = materialise(_confirmed(_crossing(ranked.filter(F.col("__at") > FIRST), labels), sets), "links")
     links = links.union(more)
     labels = materialise(components(links), "labels")
-    rest = materialise(_confirmed(_inside(members, nodes, labels), sets), "links")
-    labels = materialise(components(links.union(rest)), "labels")
+    for most in ROUNDS:
+        rest = materialise(_confirmed(_inside(members, nodes, labels, most), sets), "links")
+        if not rest.isEmpty():
+            links = links.union(rest)
+            labels = materialise(components(links), "labels")
     named = _label(nodes.select("node", "digest", "first_id"), labels, "node", "comp")
     ids = named.groupBy("comp").agg(F.min("first_id").alias("component"))
     by_digest = named.join(ids, "comp").select("digest", "component")
@@ -301,7 +315,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def _few(frame: DataFrame) -> DataFrame:
-    """A broadcast of a narrow table of ids if it is small enough; itself otherwise."""
+    """A broadcast of a narrow materialised table if it is small enough; itself otherwise."""
     return F.broadcast(frame) if frame.count() <= BROADCAST_IDS else frame
 
 
