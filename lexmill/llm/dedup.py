@@ -45,6 +45,8 @@ BANDS, WIDTH, REGISTERS = 48, 5, 256
 BASE, RATE, TOP = 1.125, 20.0, 255
 #: Candidates whose estimated similarity is below this are not confirmed: 3.9 standard errors under the threshold.
 CUT = 0.645
+#: Further registers that the last round computes for the nodes that are left, and the same bound with all registers.
+MORE, CUT_ALL = 512, 0.69
 #: Best candidates of a member that are confirmed first.
 FIRST = 2
 #: Likeliest pairs of an outsider in a bucket and block that the rounds confirm; 0: all.
@@ -56,8 +58,8 @@ BROADCAST_IDS = 1_000_000
 WORDS = 400_000
 
 _rng = np.random.Generator(np.random.PCG64(20))
-_XOR = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)[:, None]
-_MUL = (_rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1))[:, None]
+_XOR = _rng.integers(0, 1 << 32, REGISTERS + MORE, dtype=np.uint32)[:, None]
+_MUL = (_rng.integers(0, 1 << 32, REGISTERS + MORE, dtype=np.uint32) | np.uint32(1))[:, None]
 _PLACE = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _words: dict[bytes, int] = {}
 
@@ -83,16 +85,17 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(total)
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The registers of a set of hashes."""
+def sketch(hashes: np.ndarray, first: int = 0, registers: int = REGISTERS) -> np.ndarray:
+    """Registers of a set of hashes, from number ``first`` on."""
+    xor, mul = _XOR[first : first + registers], _MUL[first : first + registers]
     small = (hashes ^ (hashes >> np.uint64(29))).astype(np.uint32)
-    least = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
-    buffer = np.empty((REGISTERS, min(256, len(small) or 1)), np.uint32)
+    least = np.full(registers, 0xFFFFFFFF, np.uint32)
+    buffer = np.empty((registers, min(256, len(small) or 1)), np.uint32)
     for at in range(0, len(small), 256):
         part = small[at : at + 256]
         held = buffer[:, : len(part)]
-        np.bitwise_xor(part[None, :], _XOR, out=held)
-        np.multiply(held, _MUL, out=held)
+        np.bitwise_xor(part[None, :], xor, out=held)
+        np.multiply(held, mul, out=held)
         np.minimum(least, held.min(axis=1), out=least)
     x = -np.log1p(-(least + 0.5) / 4294967296.0) / RATE
     return np.clip(np.floor(1.0 - np.log(x) / np.log(BASE)), 0, TOP).astype(np.uint8)
@@ -102,7 +105,7 @@ def _share(x: np.ndarray) -> np.ndarray:
     return -np.log1p(-x * (BASE - 1.0) / BASE) / np.log(BASE)
 
 
-def likely(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, cut: float = CUT) -> np.ndarray:
+def likely(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, cut: float = CUT, registers: int = REGISTERS) -> np.ndarray:
     """Whether the maximum-likelihood similarity is at least cut, given register comparisons and set sizes.
 
     The log-likelihood is concave in the similarity, so its slope at cut decides. Sizes alone bound the similarity from above.
@@ -115,7 +118,7 @@ def likely(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.nda
 
     def log_likelihood(j: np.ndarray) -> np.ndarray:
         up, down = _share(u - v * j), _share(v - u * j)
-        equal = REGISTERS - larger - smaller
+        equal = registers - larger - smaller
         tiny = 1e-300
         return larger * np.log(np.maximum(up, tiny)) + smaller * np.log(np.maximum(down, tiny)) + equal * np.log(np.maximum(1.0 - up - down, tiny))
 
@@ -126,6 +129,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
 
 
+def _longer(sets: DataFrame) -> DataFrame:
+    """(node, more): the further registers of sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more = [sketch(np.frombuffer(x.as_buffer(), np.uint64), REGISTERS, MORE).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(more, pa.binary())], ["node", "more"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, more binary")
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n, digest of the set and sketch; digest and sketch of an empty set are null."""
 
@@ -227,8 +241,11 @@ def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return _label(_label(pairs, labels, "node", "__a"), labels, "rep", "__b").filter("__a <> __b").select("node", "rep")
 
 
-def _inside(members: DataFrame, nodes: DataFrame, labels: DataFrame, most: int = 0) -> DataFrame:
-    """Likely pairs of different components within buckets, none of them its bucket's representative; an outsider's ``most`` likeliest ones."""
+def _inside(members: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataFrame, most: int) -> DataFrame:
+    """Likely pairs of different components within buckets, none of them its bucket's representative; an outsider's ``most`` likeliest ones.
+
+    With most = 0 all of them, but judged by further registers too.
+    """
     rows = _label(_label(members.filter("node <> rep"), labels, "node", "comp"), labels, "rep", "main")
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g"), F.count(F.when(F.col("comp") != F.col("main"), 1)).alias("k")).filter("lo <> hi")
     rows = rows.join(mixed.select("key", "g", "k"), "key")
@@ -241,10 +258,14 @@ def _inside(members: DataFrame, nodes: DataFrame, labels: DataFrame, most: int =
     rows = rows.select("key", "node", "comp", "out", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))).alias("other"))
     rows = rows.select("key", "node", "comp", "out", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     rows = rows.join(nodes.select("node", "n", "sketch"), "node")
+    if not most:
+        asked = materialise(rows.select("node").distinct(), "asked")
+        rows = rows.join(_longer(sets.join(_few(asked), "node", "left_semi")), "node")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, REGISTERS)
         node, comp, n, own, out = (pdf[c].to_numpy() for c in ("node", "comp", "n", "own", "out"))
+        longer = None if most else np.frombuffer(b"".join(pdf["more"]), np.uint8).reshape(-1, MORE)
         x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
         band = int(pdf["key"].iloc[0]) >> 40
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
@@ -263,6 +284,11 @@ def _inside(members: DataFrame, nodes: DataFrame, labels: DataFrame, most: int =
                 p, q, a, b = p[first], q[first], a[first], b[first]
                 larger, smaller = (a > b).sum(1), (a < b).sum(1)
                 ok = likely(larger, smaller, n[p], n[q])
+                if longer is not None and ok.any():
+                    p, q, larger, smaller = p[ok], q[ok], larger[ok], smaller[ok]
+                    a, b = longer[p], longer[q]
+                    larger, smaller = larger + (a > b).sum(1), smaller + (a < b).sum(1)
+                    ok = likely(larger, smaller, n[p], n[q], CUT_ALL, REGISTERS + MORE)
                 found.append(np.stack([p[ok], q[ok], (larger + smaller)[ok]], 1))
         pairs = pd.DataFrame(np.concatenate(found) if found else np.empty((0, 3), np.int64), columns=["p", "q", "differ"])
         if most and len(pairs):
@@ -302,7 +328,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     links = links.union(more)
     labels = materialise(components(links), "labels")
     for most in ROUNDS:
-        rest = materialise(_confirmed(_inside(members, nodes, labels, most), sets), "links")
+        rest = materialise(_confirmed(_inside(members, nodes, labels, sets, most), sets), "links")
         if not rest.isEmpty():
             links = links.union(rest)
             labels = materialise(components(links), "labels")
