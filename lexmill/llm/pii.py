@@ -1,14 +1,15 @@
 """Personal data and the terms that disclose it, by information-theoretic sanitisation.
 
 Base spans (email, ip, card, phone) are found by patterns and checks. Each found value
-is a protected entity e. Over the distinct texts of the corpus, a term t near a mention
-of e discloses the share
+is a protected entity e. Over all documents, a term t near a mention of e discloses the
+share
 
     (log2 p(e|t) - log2 p(e)) / -log2 p(e) = PMI(t; e) / IC(e)
 
-of e's information, with p(e) the share of texts that mention e, and p(e|t) the share
-of texts with t that have it near e. A term seen near e in SUPPORT texts is generalised
-from GENERALISE on and removed from REMOVE on, in every text that mentions e near it.
+of e's information, with p(e) the share of documents that mention e, and p(e|t) the
+share of documents with t that have it near e. A term seen near e in SUPPORT different
+texts is generalised from GENERALISE on and removed from REMOVE on, in every text that
+mentions e near it.
 
 Everything is DataFrame functions. Statistics are aggregates that combine before their
 shuffles: a value that a third of all texts mention is one row for each task. A mention
@@ -110,21 +111,22 @@ def _terms(text: Column) -> Column:
 
 
 def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(text_key, entity, terms) for every protected entity of every distinct text; terms are those near any of its mentions."""
+    """(text_key, entity, term, copies): terms near any mention of an entity in a text, and how many documents have that text; a null term if there is none."""
     hinted = F.lit(False)
     for kind in KINDS:
         hinted = hinted | (F.col("text").contains("@") if kind == "email" else F.col("text").rlike(HINTS[kind]))
     based = with_base(docs.select(F.col(text_col).alias("text")).filter(hinted), "text")
     found = F.concat(*(F.transform(F.col(f"__{k}"), (lambda k: lambda x: F.struct(_entity(k, x["v"]).alias("entity"), x["s"].alias("s"), x["e"].alias("e")))(k)) for k in KINDS))
-    rows = based.select("text", F.md5("text").alias("text_key"), F.explode(found).alias("f"))
+    rows = based.select("text", F.md5("text").alias("text_key"), F.monotonically_increasing_id().alias("row"), F.explode(found).alias("f"))
     start = F.greatest(F.col("f.s") - WINDOW, F.lit(0))
     before = F.col("text").substr(start + 1, F.col("f.s") - start)
     after = F.col("text").substr(F.col("f.e") + 1, F.lit(WINDOW))
     whole_before = F.when(start > 0, F.regexp_replace(before, r"^\S+", "")).otherwise(before)
     whole_after = F.when(F.col("f.e") + WINDOW < F.length("text"), F.regexp_replace(after, r"\S+$", "")).otherwise(after)
     near = _terms(F.concat(whole_before, F.lit(" "), whole_after))
-    rows = rows.select("text_key", F.col("f.entity").alias("entity"), F.explode_outer(near).alias("term")).distinct()
-    return rows
+    # one struct for each value of a document; its mentions' terms come together in the shuffle of narrow rows
+    rows = rows.select("text_key", "row", F.col("f.entity").alias("entity"), F.explode_outer(near).alias("term")).distinct()
+    return rows.groupBy("text_key", "entity", "term").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def _few(frame: DataFrame) -> DataFrame:
@@ -134,14 +136,13 @@ def _few(frame: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The mentions, and (entity, term, share) of all terms that disclose an entity from GENERALISE on."""
     near = materialise(mentions(docs, text_col), "mentions")
-    pairs = near.filter("term is not null").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= SUPPORT)
-    pairs = materialise(pairs, "pairs")
-    of_entity = near.join(_few(pairs.select("entity").distinct()), "entity", "left_semi").groupBy("entity").agg(F.count_distinct("text_key").alias("n_entity"))
-    asked = _few(pairs.select("term").distinct())
+    found = near.filter("term is not null").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("together"))
+    pairs = materialise(found.filter(F.col("texts") >= SUPPORT).select("entity", "term", "together"), "pairs")
+    by_text = near.groupBy("entity", "text_key").agg(F.max("copies").alias("copies"))
+    of_entity = by_text.groupBy("entity").agg(F.sum("copies").alias("n_entity"))
     texts = docs.select(F.col(text_col).alias("text")).filter("text is not null")
-    words = texts.select(F.md5("text").alias("text_key"), F.explode(_terms(F.col("text"))).alias("term")).join(asked, "term", "left_semi")
-    of_term = words.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = texts.select(F.md5("text").alias("k")).distinct().count()
+    of_term = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    total = texts.count()
     joined = pairs.join(of_entity, "entity").join(of_term, "term")
     rare = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
     share = F.lit(1.0) + F.log2(F.col("together") / F.col("n_term")) / rare
@@ -156,7 +157,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     terms by [TERM] and removed terms by nothing; null for a null text. Spans are
     kind:start:end in code points, by kind (email, ip, card, phone, term), then start.
     A null or empty text has none. Null ids and repeated rows are kept as they are;
-    equal texts count once in the statistics. Other columns are not read and may have
+    equal texts count as SUPPORT once, and in shares as often as they occur. Other columns are not read and may have
     any name. No rows: no rows.
     """
     near, told = disclosures(docs, text_col)
