@@ -35,10 +35,10 @@ def base(text):
 
 def disclosed(texts):
     """{text: set of terms} by counting."""
-    distinct = {t for t in texts if t is not None}
+    copies = Counter(t for t in texts if t is not None)
     near, of_term = defaultdict(set), Counter()
-    for t in distinct:
-        of_term.update(set(TERM.findall(t.lower())))
+    for t, n in copies.items():
+        of_term.update(dict.fromkeys(TERM.findall(t.lower()), n))
         for k, s, e, v in base(t):
             entity = k + ":" + (v.lower() if k in ("email", "ip") else re.sub("[^0-9]", "", v))
             a, b = max(0, s - pii.WINDOW), e + pii.WINDOW
@@ -46,16 +46,17 @@ def disclosed(texts):
             left = re.sub(r"^\S+", "", left) if a else left
             right = re.sub(r"\S+$", "", right) if b < len(t) else right
             near[entity, t] |= set(TERM.findall((left + " " + right).lower()))
-    mentions, together = Counter(), Counter()
-    for (entity, _), terms in near.items():
-        mentions[entity] += 1
-        together.update((entity, x) for x in terms)
+    mentions, together, support = Counter(), Counter(), Counter()
+    for (entity, t), terms in near.items():
+        mentions[entity] += copies[t]
+        together.update({(entity, x): copies[t] for x in terms})
+        support.update((entity, x) for x in terms)
     out = defaultdict(set)
     for (entity, t), terms in near.items():
-        rare = math.log2(len(distinct) / mentions[entity])
+        rare = math.log2(sum(copies.values()) / mentions[entity])
         for x in terms:
             n = together[entity, x]
-            if n >= pii.SUPPORT and rare > 0 and 1 + math.log2(n / of_term[x]) / rare >= pii.GENERALISE:
+            if support[entity, x] >= pii.SUPPORT and rare > 0 and 1 + math.log2(n / of_term[x]) / rare >= pii.GENERALISE:
                 out[t].add(x)
     return out
 
