@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("text", "counts", "spell", "tagging", "parsing", "editing")
+NAMES = ("text", "counts", "spell", "tagging")
 
 
 def _modules() -> list:
