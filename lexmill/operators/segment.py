@@ -51,6 +51,18 @@ class Model:
         for (a, b, _), c in self.tri.items():
             self.ctx2[a, b] = self.ctx2.get((a, b), 0) + c
 
+    def after(self) -> tuple[dict[str, dict[str, int]], dict[tuple[str, str], dict[str, int]]]:
+        """Counts of following words by the last word and by the last two."""
+        if not hasattr(self, "_after"):
+            one: dict[str, dict[str, int]] = {}
+            two: dict[tuple[str, str], dict[str, int]] = {}
+            for (a, b), c in self.bi.items():
+                one.setdefault(a, {})[b] = c
+            for (a, b, w), c in self.tri.items():
+                two.setdefault((a, b), {})[w] = c
+            self._after = (one, two)
+        return self._after
+
     def unknown(self, word: str) -> float:
         """Probability of a word that is not in the vocabulary."""
         p = self.memo.get(word)
@@ -83,25 +95,36 @@ class Model:
         n = len(text)
         if not n:
             return []
-        cells: list[dict[tuple[str, str], tuple[float, tuple | None]]] = [{} for _ in range(n + 1)]
-        cells[0][BOS, BOS] = (0.0, None)
+        after_one, after_two = self.after()
+        # a cell holds its states with the words that may follow them
+        cells: list[list[tuple]] = [[] for _ in range(n + 1)]
+        cells[0] = [(0.0, None, BOS, after_one.get(BOS), self.ctx1.get(BOS, 0), after_two.get((BOS, BOS)), self.ctx2.get((BOS, BOS), 0))]
+        ends: dict[tuple[str, str], tuple[float, tuple | None]] = {(BOS, BOS): (0.0, None)}
         for j in range(1, n + 1):
             here: dict[tuple[str, str], tuple[float, tuple | None]] = {}
             for i in range(max(0, j - longest), j):
                 word = text[i:j]
-                known = word in self.uni
-                if not known and len(word) > UNKNOWN_LONGEST:
+                c = self.uni.get(word)
+                if c is None and len(word) > UNKNOWN_LONGEST:
                     continue
-                cost = 0.0 if known else UNKNOWN_COST * len(word)
-                for (a, b), (score, path) in cells[i].items():
-                    s = score + math.log2(self.probability(a, b, word)) - cost
+                base = M.L1 * c / self.total + M.L0 * M.KNOWN if c is not None else M.L0 * self.unknown(word)
+                plain = math.log2(max(base, M.FLOOR)) - (0.0 if c is not None else UNKNOWN_COST * len(word))
+                for score, path, b, ones, n1, twos, n2 in cells[i]:
+                    p = 0.0
+                    if c is not None:
+                        if twos and (x := twos.get(word)):
+                            p = M.L3 * x / n2
+                        if ones and (x := ones.get(word)):
+                            p += M.L2 * x / n1
+                    s = score + (math.log2(max(p + base, M.FLOOR)) if p else plain)
                     old = here.get((b, word))
                     if old is None or s > old[0]:
                         here[b, word] = (s, (path, word))
             if len(here) > beam:
                 here = dict(heapq.nlargest(beam, here.items(), key=lambda x: x[1][0]))
-            cells[j] = here
-        best = max(cells[n].items(), key=lambda x: x[1][0] + math.log2(self.probability(x[0][0], x[0][1], EOS)))
+            ends = here
+            cells[j] = [(s, path, w, after_one.get(w), self.ctx1.get(w, 0), after_two.get((b, w)), self.ctx2.get((b, w), 0)) for (b, w), (s, path) in here.items()]
+        best = max(ends.items(), key=lambda x: x[1][0] + math.log2(self.probability(x[0][0], x[0][1], EOS)))
         out, path = [], best[1][1]
         while path:
             path, word = path
