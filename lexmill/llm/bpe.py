@@ -9,8 +9,9 @@ are taken in their order. The gadget of merge k, (a, b) -> c,
 
 A token built later starts with its first part, so an arc x of a state is open only
 if none of the tokens on x's left edge was removed before it was absorbed. States
-are held by what was removed from them: ``removed[t]`` maps a token to the number of
-the gadget that took it away. What stays is a deterministic automaton that accepts
+are held by what was removed from them: an arc of its own by the gadget (state, arc),
+and what its second part's state had lost when the state was copied from it, kept as a
+reference to that state and the time of the copy. What stays is a deterministic automaton that accepts
 exactly one token sequence for every byte string: its BPE encoding.
 
 A pre-split word is encoded by walking the automaton from the start: from a state,
@@ -34,7 +35,7 @@ LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 LATIN_PATTERN = rf" ?[{LATIN}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+"
 NOT_LATIN = rf"[^{LATIN}\n -~\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2013-\u2026]"
 #: Words that a process remembers; about 150 bytes each.
-WORDS = 600_000
+WORDS = 400_000
 NEVER = 1 << 30
 
 
@@ -61,7 +62,8 @@ class Automaton:
         self.longest = max(map(len, self.ids))
         self.first: dict[int, int] = {}
         self.absorbed: dict[int, int] = {}
-        self.removed: dict[int, dict[int, int]] = {i: {} for x, i in self.ids.items() if len(x) == 1}
+        self.second: dict[int, int] = {}
+        self.gadgets: dict[int, int] = {}
         for k, pair in enumerate(held["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self._gadget(k, vocab[a], vocab[b], vocab[a + b])
@@ -72,18 +74,29 @@ class Automaton:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
 
     def _gadget(self, k: int, a: int, b: int, c: int) -> None:
-        self.removed[c] = dict(self.removed[b])
-        self.removed[a][b] = k
-        self.first[c], self.absorbed[c] = a, k
+        self.gadgets[a << 20 | b] = k
+        self.first[c], self.second[c], self.absorbed[c] = a, b, k
+
+    def removed(self, state: int, arc: int) -> int:
+        """The number of the gadget that took an arc from a state; NEVER if none did."""
+        until = NEVER
+        while True:
+            k = self.gadgets.get(state << 20 | arc, NEVER)
+            if k < until:
+                return k
+            if state not in self.second:
+                return NEVER
+            until, state = self.absorbed[state], self.second[state]
 
     def is_open(self, state: int, token: int) -> bool:
         """Whether the arc ``token`` leaves the state of the last token ``state``."""
         key = state << 20 | token
         known = self.open.get(key)
         if known is None:
-            gone, edge, until, known = self.removed[state], token, NEVER, True
+            edge, until, known = token, NEVER, True
             while True:
-                if gone.get(edge, NEVER) <= until and edge in gone:
+                k = self.removed(state, edge)
+                if k != NEVER and k <= until:
                     known = False
                     break
                 if edge not in self.first:

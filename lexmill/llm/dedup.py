@@ -56,7 +56,7 @@ EQUAL = 145
 BLOCK = 1000
 #: Rows of two numbers up to this many are broadcast (about 40 MB in memory); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-WORDS = 400_000
+WORDS = 200_000
 
 _rng = np.random.Generator(np.random.PCG64(20))
 _XOR = _rng.integers(0, 1 << 32, REGISTERS + MORE, dtype=np.uint32)[:, None]
