@@ -45,7 +45,7 @@ BASE, RATE, TOP = 1.125, 20.0, 255
 #: Candidates whose estimated similarity is below this are not confirmed: 3.9 standard errors under the threshold.
 CUT = 0.645
 #: Further registers that the last round computes for the nodes that are left, and the same bound with all registers.
-MORE, CUT_ALL = 512, 0.69
+MORE, CUT_ALL = 768, 0.697
 #: Best candidates of a member that are confirmed first.
 FIRST = 2
 #: Likeliest pairs of an outsider in a bucket and block that the rounds confirm; 0: all.
