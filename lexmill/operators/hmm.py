@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.operators import ngrams as N
+from lexmill.session import materialise
 
 START, END = "<START>", "<END>"
 A3, A2, A1, A0 = 0.65, 0.25, 0.09, 0.01
@@ -43,9 +44,9 @@ def tag_sequences(tagged: DataFrame) -> DataFrame:
 
 def transition_table(tagged: DataFrame) -> DataFrame:
     """(t1, t2, t3, p) for all tags: there are few, so all triples are listed."""
-    seqs = tag_sequences(tagged)
-    tri, bi = N.count_runs(seqs, F.col("tags"), 3), N.count_runs(seqs, F.col("tags"), 2)
-    uni = tagged.groupBy("tag").agg(F.count(F.lit(1)).alias("c1"))
+    tri = materialise(N.count_runs(tag_sequences(tagged), F.col("tags"), 3), "tag-trigrams")  # the only pass over the sentences
+    bi = N.all_pairs(tri, END)
+    uni = N.last_words(tri, END).select(F.col("w").alias("tag"), F.col("c").alias("c1"))
     total = uni.agg(F.sum("c1").alias("n"), F.count(F.lit(1)).alias("k"))
     tags = uni.select("tag")
     first = tags.union(tags.sparkSession.createDataFrame([(START,)], "tag string"))

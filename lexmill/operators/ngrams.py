@@ -39,9 +39,20 @@ def contexts(grams: DataFrame, *keys: str, name: str) -> DataFrame:
     return grams.groupBy(*keys).agg(F.sum("c").alias(name))
 
 
-def characters(rows: DataFrame, words: Column, n: int) -> DataFrame:
-    """(gram, c): runs of n characters of ^word$, for every occurrence of a word."""
-    counted = unigrams(rows, words)
+def last_words(tri: DataFrame, end: str = EOS) -> DataFrame:
+    """(w, c) of all words, from trigrams of sentences with both marks."""
+    return tri.filter(F.col("w3") != end).groupBy(F.col("w3").alias("w")).agg(F.sum("c").alias("c"))
+
+
+def all_pairs(tri: DataFrame, end: str = EOS) -> DataFrame:
+    """(w1, w2, c) of all neighbours, that of the start marks included, from trigrams of sentences with both marks."""
+    first = tri.select("w1", "w2", "c")
+    last = tri.filter(F.col("w3") == end).select(F.col("w2").alias("w1"), F.col("w3").alias("w2"), "c")
+    return first.unionByName(last).groupBy("w1", "w2").agg(F.sum("c").alias("c"))
+
+
+def characters(counted: DataFrame, n: int) -> DataFrame:
+    """(gram, c): runs of n characters of ^word$, for every occurrence of a word; counted: (w, c)."""
     marked = F.concat(F.lit("^"), F.col("w"), F.lit("$"))
     starts = F.sequence(F.lit(1), F.greatest(F.length(marked) - (n - 1), F.lit(1)))
     grams = counted.select("c", F.explode(F.transform(starts, lambda i: marked.substr(i, F.lit(n)))).alias("gram"))
