@@ -232,6 +232,14 @@ def components(links: DataFrame, a: str = "node", b: str = "rep") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after further links: components of components, of which few are joined."""
+    ends = _label(_label(links, labels, "node", "__a"), labels, "rep", "__b").filter("__a <> __b")
+    moved = materialise(components(ends.select(F.col("__a").alias("node"), F.col("__b").alias("rep"))), "moved")
+    held = labels.join(moved.select(F.col("node").alias("comp"), F.col("comp").alias("__to")), "comp", "left").select("node", F.coalesce("__to", "comp").alias("comp"))
+    return materialise(held.union(moved.join(labels.select("node"), "node", "left_anti").select("node", "comp")), "labels")
+
+
 def _label(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
     """rows with the component of column node, which is the node itself if it has no link."""
     known = labels.select(F.col("node").alias(node), F.col("comp").alias("__comp"))
@@ -342,13 +350,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     links = materialise(_confirmed(ranked.filter(F.col("__at") <= FIRST), sets), "links")
     labels = materialise(components(links), "labels")
     more = materialise(_confirmed(_crossing(ranked.filter(F.col("__at") > FIRST), labels), sets), "links")
-    links = links.union(more)
-    labels = materialise(components(links), "labels")
+    labels = _merged(labels, more)
     for most in ROUNDS:
         rest = materialise(_confirmed(_inside(members, nodes, labels, sets, most), sets), "links")
         if not rest.isEmpty():
-            links = links.union(rest)
-            labels = materialise(components(links), "labels")
+            labels = _merged(labels, rest)
     named = _label(nodes.select("node", "digest", "first_id"), labels, "node", "comp")
     ids = named.groupBy("comp").agg(F.min("first_id").alias("component"))
     by_digest = named.join(ids, "comp").select("digest", "component")
