@@ -5,17 +5,17 @@
    by powers of BASE and truncated to a byte. Sketches merge by maximum. Documents with
    equal sets are one node from here on.
 2. Each of BANDS bands of WIDTH registers puts a node in a bucket. A bucket's
-   representative is its smallest node in an order of the band's own, so that members
-   of a large group meet many different representatives. Candidates are (member,
+   representative is its smallest node, in one of ORDERS orders by the band, so that
+   members of a large group meet different representatives. Candidates are (member,
    representative): linear in the members, however large a bucket is.
 3. Sketches estimate the similarity of a candidate jointly, by the likelihood of the
    counts of larger, equal and smaller registers; candidates far below the threshold
    go. Each member's best ones are confirmed on full sets; of the others, those whose
    ends are not connected by then. Confirmed links are joined to components.
 4. Buckets whose members besides the representative are still in several components
-   are compared inside, outsiders against all, in blocks of bounded size. Rounds
-   confirm the likeliest pairs of each outsider first; the last one takes all that
-   are left. So no link between two nodes that share a bucket gets lost.
+   are compared inside, outsiders against all, in blocks of bounded size, by sketches
+   and then by longer ones; what is left is confirmed. So no link between two nodes
+   that share a bucket gets lost.
 
 A pair at the threshold shares no bucket with a chance of about 6e-7. Sets travel only
 for nodes that have a candidate. Components are found by alternating large-star and
@@ -42,14 +42,16 @@ SHINGLE = 5
 THRESHOLD = 75
 BANDS, WIDTH, REGISTERS = 48, 5, 256
 BASE, RATE, TOP = 1.125, 20.0, 255
+#: Different orders of nodes that choose representatives.
+ORDERS = 2
 #: Candidates whose estimated similarity is below this are not confirmed: 3.9 standard errors under the threshold.
 CUT = 0.645
 #: Further registers that the last round computes for the nodes that are left, and the same bound with all registers.
-MORE, CUT_ALL = 768, 0.697
+MORE, CUT_ALL = 1792, 0.713
 #: Best candidates of a member that are confirmed first.
 FIRST = 2
-#: Likeliest pairs of an outsider in a bucket and block that the rounds confirm; 0: all.
-ROUNDS = (2, 0)
+#: Likeliest pairs of an outsider in a bucket and block that each round confirms; 0: all. The last is 0.
+ROUNDS = (0,)
 #: Equal registers that a pair has at least if its estimate reaches CUT; fewer are about 0.57.
 EQUAL = 145
 #: Rows of a block in a comparison within a bucket.
@@ -171,8 +173,8 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 
 
 def _salt(key: Column) -> Column:
-    """The band's own order of nodes: an exclusive or with a number of its own."""
-    return F.xxhash64(F.shiftright(key, 40)).bitwiseAND(F.lit((1 << 62) - 1))
+    """An order of nodes, one of ORDERS by the band: an exclusive or with a number of its own."""
+    return F.xxhash64(F.shiftright(key, 40) % ORDERS).bitwiseAND(F.lit((1 << 62) - 1))
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -269,10 +271,12 @@ def _inside(members: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataF
     last = F.when(F.col("out"), F.col("outer") + F.col("inner") - 1).otherwise(F.col("outer") - 1)
     large = large.select("key", "node", "comp", "out", own.cast("long").alias("own"), F.explode(F.sequence(zero, last.cast("long"))).alias("other"))
     rows = small.unionByName(large.select("key", "node", "comp", "out", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")))
-    rows = rows.join(nodes.select("node", "n", "sketch"), "node")
+    info = nodes.select("node", "n", "sketch")
     if not most:
+        rows = materialise(rows, "rows")
         asked = materialise(rows.select("node").distinct(), "asked")
-        rows = rows.join(_longer(sets.join(_few(asked), "node", "left_semi")), "node")
+        info = info.join(_longer(sets.join(_few(asked), "node", "left_semi")), "node")
+    rows = rows.join(info, "node")
 
     def run(held: pa.Table) -> pa.Table:
         col = {c: held.column(c).to_numpy() for c in ("key", "node", "comp", "n", "own", "x", "y", "out")}
