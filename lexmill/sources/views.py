@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexmill.sources.tables import table
+from lexmill.sources.tables import spread, table
 
 WORD = r"[\p{L}\p{N}]+"
 STOP = r"[.!?\n]+"
@@ -18,7 +18,7 @@ STOP = r"[.!?\n]+"
 
 def sents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sent_id, doc_id, lang, ws): sentences of three words or more, lower-cased."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", STOP)).alias("p", "s"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", F.posexplode(F.split("text", STOP)).alias("p", "s"))
     words = F.regexp_extract_all(F.lower("s"), F.lit(WORD), F.lit(0))
     rows = docs.select((F.col("doc_id") * 100000 + F.col("p")).alias("sent_id"), "doc_id", "lang", words.alias("ws"))
     return rows.filter(F.size("ws") >= 3)
