@@ -34,6 +34,11 @@ def expose_package(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of fewer rows, for operators on long texts: a batch stands in memory on both sides, in each running task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors: spark.checkpoint.dir, or a new local one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
