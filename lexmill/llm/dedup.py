@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lexmill.session import materialise
+from lexmill.session import materialise, small_batches
 from lexmill.sources.tables import table
 
 SHINGLE = 5
@@ -340,6 +340,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     names a component; if none of those has an id, its component_id is null, and it is
     kept, since nothing can stand for it. Other columns are not read and may have any name. No rows: no rows.
     """
+    small_batches(docs.sparkSession)
     held = materialise(sketches(docs, id_col, text_col), "sketches")
     distinct = held.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("n", "sketch")).alias("s"))
     nodes = materialise(distinct.select(F.monotonically_increasing_id().alias("node"), "digest", "first_id", "s.n", "s.sketch"), "nodes")

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from lexmill.llm import bpe
 from lexmill.llm.tokenizer import TOKENIZER, tokenizer_path
+from lexmill.session import small_batches
 from lexmill.sources.tables import table
 
 LEAF = 64
@@ -174,6 +175,7 @@ def count_edited(docs: DataFrame, edits_col: str = "edits", tokenizer: str = TOK
             types = [pa.int64()] * 6 + [pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], SCHEMA.fieldNames())
 
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(edits_col).cast(T.ArrayType(EDIT)).alias("edits"))
     return narrow.mapInArrow(run, SCHEMA)
 

@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from lexmill.llm import bpe
 from lexmill.llm.tokenizer import TOKENIZER, tokenizer_path
-from lexmill.session import materialise
+from lexmill.session import materialise, small_batches
 from lexmill.sources.tables import table
 
 CAPACITY = 2048
@@ -192,6 +192,7 @@ def pack(
     length 1. Null ids and repeated rows are packed like any other, each row on its
     own. Other columns are not read and may have any name. No rows: no rows.
     """
+    small_batches(docs.sparkSession)
     held = materialise(pieces(docs, capacity, tokenizer, keep_ids, id_col, text_col), "pieces")
     by_part = materialise(held.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     lengths = {r[0]: r[1] for r in by_part.groupBy("length").agg(F.sum("n")).collect()}  # capacity rows at most

@@ -16,6 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from lexmill.session import small_batches
 from lexmill.sources.tables import table
 
 LEVEL = 3
@@ -128,6 +129,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     verdict is ok and its ratio 0. Null ids and repeated rows are judged like any
     other. Other columns are not read and may have any name. No rows: no rows.
     """
+    small_batches(docs.sparkSession)
     narrow = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text")
     return narrow.mapInArrow(_judge, SCHEMA)
 
@@ -143,6 +145,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             for judged in _judge(iter([one])):
                 yield batch.filter(judged.column(7))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

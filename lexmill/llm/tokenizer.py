@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from lexmill.llm import bpe
+from lexmill.session import small_batches
 from lexmill.sources.tables import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,6 +64,7 @@ def round_trip(
             out = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(out + [pa.array(held[x], kinds[x][1]) for x in keep], names)
 
+    small_batches(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
 
 
