@@ -155,6 +155,17 @@ def test_images(spark):
     assert images.copies(spark.createDataFrame([], "image_id long, pixels binary, width int, height int")).count() == 0
 
 
+def test_large_groups_of_images(spark):
+    rows = []
+    for k in range(4096):
+        image = images.np.frombuffer(images.drawn(b"large", 0)[0], "u1").reshape(96, 96).copy()
+        image[0, k % 64], image[95, k // 64] = 1, 2  # outside of all patches
+        rows.append((k, image.tobytes(), 96, 96))
+    got = images.copies(spark.createDataFrame(rows, "image_id long, pixels binary, width int, height int").repartition(8)).collect()
+    parts = len({r.component_id for r in got})
+    assert len(got) == 4096 and parts == 1, parts
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from lexmill.llm import pii
