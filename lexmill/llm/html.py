@@ -4,9 +4,11 @@ Every run of text is a leaf with its path of elements from the root, by tag and
 class. Over all leaves of one path, text length and punctuation are summed and set
 against the number of leaves. The two ratios, in page order, are smoothed with their
 neighbours, fused to one score and compared with a threshold for each path. Paths of
-the content mark the element that holds most of their text; all its leaves but those
-of menus, forms, adverts and the like are the main text. Pages are read alone, in
-Arrow batches; nothing is shuffled.
+the content mark the element that holds most of their text; all its leaves but those of menus, forms, adverts and the
+like are the main text. Words in class, id or role only make an element suspect: it
+stays if it is or wraps the article, is a heading, or holds most of the text of a page
+without article, and within an article unless it is mostly links. Pages are read
+alone, in Arrow batches; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -46,6 +48,8 @@ DROPPED_WORDS = frozenset(
 )
 HEADER_WORDS = frozenset({"header", "masthead", "topbar"})
 MAIN_TAGS = frozenset({"article", "main"})
+#: Elements that words of class, id or role never make suspect.
+KEPT_TAGS = MAIN_TAGS | frozenset("html body h1 h2 h3 h4 h5 h6".split())
 #: A path is content if its score reaches this share of the largest.
 THRESHOLD = 0.2
 #: An element takes the place of its parent if it holds this share of the content's text.
@@ -55,10 +59,12 @@ SCHEMA = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("ur
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "dropped", "main", "depth")
+    __slots__ = ("tag", "path", "parent", "dropped", "suspect", "main", "depth", "wraps", "size", "linked")
 
-    def __init__(self, tag: str, label: str, parent: _Element | None, dropped: bool, main: bool) -> None:
-        self.tag, self.parent, self.dropped, self.main = tag, parent, dropped, main
+    def __init__(self, tag: str, label: str, parent: _Element | None, dropped: bool, main: bool, suspect: bool = False) -> None:
+        self.tag, self.parent, self.dropped, self.main, self.suspect = tag, parent, dropped, main, suspect
+        # whether an article is inside; characters of text, and those of them in links
+        self.wraps, self.size, self.linked = False, 0, 0
         self.path = f"{parent.path}/{label}" if parent else label
         self.depth = parent.depth + 1 if parent else 0
 
@@ -140,14 +146,53 @@ def leaves(html: str) -> list[tuple[int, _Element, str]]:
         label, words, hidden = _attributes(m[3])
         in_main = top.main
         main = in_main or tag in MAIN_TAGS or "main" in words and tag in ("div", "section")
-        dropped = top.dropped or hidden or tag in DROPPED_TAGS
-        if not dropped and tag not in ("html", "body"):
-            dropped = bool(words & DROPPED_WORDS) or not in_main and (tag == "header" or bool(words & HEADER_WORDS)) and tag not in MAIN_TAGS
+        dropped = top.dropped or hidden or tag in DROPPED_TAGS and tag != "form"
+        suspect = tag == "form" or tag not in KEPT_TAGS and (bool(words & DROPPED_WORDS) or not in_main and (tag == "header" or bool(words & HEADER_WORDS)))
         if not m[3].endswith("/"):
-            top = _Element(tag, tag + label, top, dropped, main)
+            top = _Element(tag, tag + label, top, dropped, main, suspect)
+            if tag in MAIN_TAGS and not dropped:
+                x = top
+                while x is not None and not x.wraps:
+                    x.wraps = True
+                    x = x.parent
+    _settle(out, root)
     return out
 
 
+def _settle(runs: list[tuple[int, _Element, str]], root: _Element) -> None:
+    """Marks the suspect elements that are dropped, and all within them."""
+    chains: dict[_Element, list[_Element]] = {}
+    for _, element, text in runs:
+        if element.dropped or text.isspace():
+            continue
+        if element not in chains:
+            chain, x = [], element
+            while x is not None:
+                chain.append(x)
+                x = x.parent
+            chains[element] = chain
+        size = len(text.strip())
+        linked = size if any(x.tag == "a" for x in chains[element]) else 0
+        for x in chains[element]:
+            x.size += size
+            x.linked += linked
+    settled: set[_Element] = {root}
+    for _, element, _ in runs:
+        chain, x = [], element
+        while x is not None and x not in settled:
+            chain.append(x)
+            x = x.parent
+        for x in reversed(chain):
+            settled.add(x)
+            x.dropped = x.dropped or x.parent.dropped or x.suspect and not _spared(x, root)
+
+
+def _spared(x: _Element, root: _Element) -> bool:
+    if x.wraps or not root.wraps and 2 * x.size > root.size and 2 * x.linked < x.size:
+        return True
+    return x.tag != "form" and x.main and 2 * x.linked < x.size
+
+
 def path_scores(runs: list[tuple[int, _Element, str]]) -> dict[str, float]:
     """The smoothed and fused score of each path that may hold content."""
     length: dict[str, int] = defaultdict(int)

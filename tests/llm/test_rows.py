@@ -117,6 +117,22 @@ def test_main_text(name):
     assert html.main_text(PAGES[name][0]) == PAGES[name][1]
 
 
+LONG = "A long sentence, with some words; and more of them. " * 8
+WHOLE = LONG.strip()
+WRAPPED = {
+    "article classes": (f'<nav>Menu</nav><article class="post category-social tag-search"><h1>T</h1><p>{LONG}</p></article>', f"T\n{WHOLE}"),
+    "wrap": (f'<div class="content-sidebar-wrap"><h1>T</h1><p>{LONG}</p></div><div class="sidebar">Side, bar.</div>', f"T\n{WHOLE}"),
+    "no sidebar": (f'<body><div class="no-sidebar"><article><p>{LONG}</p></article></div></body>', WHOLE),
+    "form page": (f'<body><form action="x.aspx"><div><p>{LONG}</p><p>{LONG}</p></div></form></body>', f"{WHOLE}\n{WHOLE}"),
+    "sections": (f'<article><p>{LONG}</p><h2 id="related-work">Related work</h2><p>{LONG}</p><section id="search"><p>{LONG}</p></section><div class="share"><a href="x">Share, now!</a></div></article>', f"{WHOLE}\nRelated work\n{WHOLE}\n{WHOLE}"),
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_words_of_classes_alone_drop_nothing(name):
+    assert html.main_text(WRAPPED[name][0]) == WRAPPED[name][1]
+
+
 def test_pages(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
     frame = spark.createDataFrame([(r.page_id, r.url, r.html) for r in rows] + [(None, None, None), (1, "u", "")], "page_id long, url string, html string").selectExpr("*", "'x' as text", "1 as n_chars")
