@@ -4,7 +4,7 @@ Every run of text is a leaf with its path of elements from the root, by tag and
 class. Over all leaves of one path, text length and punctuation are summed and set
 against the number of leaves. The two ratios, in page order, are smoothed with their
 neighbours, fused to one score and compared with a threshold for each path. Paths of
-the content mark the element that holds most of their text; all its leaves but those of menus, forms, adverts and the
+the content mark an element; all its leaves but those of menus, forms, adverts and the
 like are the main text. Words in class, id or role only make an element suspect: it
 stays if it is or wraps the article, is a heading, or holds most of the text of a page
 without article, and within an article unless it is mostly links. Pages are read
@@ -50,10 +50,10 @@ HEADER_WORDS = frozenset({"header", "masthead", "topbar"})
 MAIN_TAGS = frozenset({"article", "main"})
 #: Elements that words of class, id or role never make suspect.
 KEPT_TAGS = MAIN_TAGS | frozenset("html body h1 h2 h3 h4 h5 h6".split())
+#: Elements of text alone: their parent takes their place as holder of the content.
+TEXT_TAGS = INLINE | frozenset("p li td th tr tbody ul ol dl dt dd table pre blockquote section h1 h2 h3 h4 h5 h6".split())
 #: A path is content if its score reaches this share of the largest.
 THRESHOLD = 0.2
-#: An element takes the place of its parent if it holds this share of the content's text.
-DOMINANT = 0.9
 
 SCHEMA = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
@@ -222,6 +222,16 @@ def path_scores(runs: list[tuple[int, _Element, str]]) -> dict[str, float]:
     return {p: s / count[p] for p, s in total.items()}
 
 
+def _common(a: _Element, b: _Element) -> _Element:
+    """The lowest element that holds both."""
+    while a is not b:
+        if a.depth >= b.depth and a.parent is not None:
+            a = a.parent
+        elif b.parent is not None:
+            b = b.parent
+    return a
+
+
 def main_text(html: str) -> str:
     """The main text of a page: its blocks in page order, one to a line."""
     runs = leaves(html)
@@ -229,24 +239,19 @@ def main_text(html: str) -> str:
     if not scores:
         return ""
     least = THRESHOLD * max(scores.values())
-    weight: dict[_Element, int] = defaultdict(int)
-    total = 0
-    for _, element, text in runs:
-        if not element.dropped and scores.get(element.path, 0.0) >= least and not text.isspace():
-            total += len(text)
-            x: _Element | None = element
-            while x is not None:
-                weight[x] += len(text)
-                x = x.parent
-    holder = None
-    for x in weight:
-        if weight[x] >= DOMINANT * total and x.tag not in INLINE and x.tag not in ("p", "li", "td", "h1", "h2", "h3"):
-            inner_main = x.parent is not None and x.parent.main
-            if not inner_main and (holder is None or x.depth > holder.depth):
-                holder = x
+    passing = {e for _, e, text in runs if not e.dropped and not text.isspace() and scores.get(e.path, 0.0) >= least}
+    holder: _Element | None = None
+    for x in passing:
+        holder = x if holder is None else _common(holder, x)
+    while holder is not None and holder.tag in TEXT_TAGS and holder.parent is not None and not holder.parent.main:
+        holder = holder.parent
+    while holder is not None and holder.main and holder.parent is not None and holder.parent.main:
+        holder = holder.parent
+    # outside of the articles of a page that has some, only paths of the content count
+    strict = holder is not None and not holder.main and any(x.main for x in passing)
     blocks: dict[int, list[str]] = defaultdict(list)
     for block, element, text in runs:
-        if element.dropped:
+        if element.dropped or strict and not element.main and element not in passing and not text.isspace():
             continue
         x = element
         while x is not None and x is not holder:

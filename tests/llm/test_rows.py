@@ -126,6 +126,11 @@ WRAPPED = {
     "form page": (f'<body><form action="x.aspx"><div><p>{LONG}</p><p>{LONG}</p></div></form></body>', f"{WHOLE}\n{WHOLE}"),
     "sections": (f'<article><p>{LONG}</p><h2 id="related-work">Related work</h2><p>{LONG}</p><section id="search"><p>{LONG}</p></section><div class="share"><a href="x">Share, now!</a></div></article>', f"{WHOLE}\nRelated work\n{WHOLE}\n{WHOLE}"),
 }
+SPREAD = {
+    "page": (f"<div id=page><h1>Title</h1><p>lead</p><div class=text>{LONG * 9}</div><p>end</p></div>", f"Title\nlead\n{(LONG * 9).strip()}\nend"),
+    "pre": (f"<body><p>Short intro.</p><pre>{LONG * 9}</pre></body>", f"Short intro.\n{(LONG * 9).strip()}"),
+    "articles": (f"<body><p>Site</p><article><p>{LONG * 10}</p></article><article><p>{LONG}</p></article></body>", f"{(LONG * 10).strip()}\n{WHOLE}"),
+}
 
 
 @pytest.mark.parametrize("name", WRAPPED)
@@ -133,6 +138,11 @@ def test_words_of_classes_alone_drop_nothing(name):
     assert html.main_text(WRAPPED[name][0]) == WRAPPED[name][1]
 
 
+@pytest.mark.parametrize("name", SPREAD)
+def test_all_parts_of_the_content(name):
+    assert html.main_text(SPREAD[name][0]) == SPREAD[name][1]
+
+
 def test_pages(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
     frame = spark.createDataFrame([(r.page_id, r.url, r.html) for r in rows] + [(None, None, None), (1, "u", "")], "page_id long, url string, html string").selectExpr("*", "'x' as text", "1 as n_chars")
