@@ -22,9 +22,9 @@ from lexmill.sources.tables import table
 LEVEL = 3
 CHUNK = 4096
 #: (bytes from, lowest ratio, highest ratio) of whole texts; shorter texts than the first have no band.
-TEXT_BANDS = ((256, 0.35, 0.90), (1024, 0.28, 0.85), (4096, 0.22, 0.80), (16384, 0.18, 0.75), (131072, 0.15, 0.72))
+TEXT_BANDS = ((256, 0.35, 0.80), (512, 0.35, 0.75), (1024, 0.28, 0.70), (4096, 0.22, 0.65), (16384, 0.18, 0.60), (131072, 0.15, 0.60))
 #: The same of single chunks of CHUNK bytes; a last, shorter chunk is judged by the whole text's band for its length.
-CHUNK_BAND = (0.20, 0.80)
+CHUNK_BAND = (0.20, 0.68)
 #: A text fails if more than this share of its chunks is out of band.
 BAD_CHUNKS = 0.25
 #: Base rules: the fewest words, and the largest percentage of words in repeated windows of three.

@@ -61,6 +61,15 @@ def test_quality(spark):
     assert quality.judge(frame.limit(0)).count() == 0
 
 
+def test_encoded_documents_are_incompressible():
+    import base64
+
+    packer = zstandard.ZstdCompressor(level=quality.LEVEL)
+    for size in (500, 900, 3000, 5000, 9000, 15000, 40000):
+        raw = base64.encodebytes(random.Random(size).randbytes(size))
+        assert quality.compression(raw, packer)[3] == "incompressible", size
+
+
 def test_tokenizer(spark):
     t = Tokenizer.from_file(PATH)
     frame, rows = docs(spark, ODD + table_texts(spark))
