@@ -16,7 +16,7 @@ from lexmill.operators.hmm import _rows
 from lexmill.operators.ngrams import BOS, EOS
 
 LONGEST, BEAM, UNKNOWN_LONGEST, UNKNOWN_COST = 25, 40, 10, 2.0
-#: Longer texts are not searched; their rows say so. The greedy segmenter has no such limit.
+#: The editor searches no longer texts.
 SEARCH_LIMIT = 2000
 
 
@@ -167,7 +167,7 @@ def segment_greedy(frame: DataFrame, vocab: DataFrame, text: str = "text", name:
     return _mapped(frame, text, name, lambda: lambda x: greedy(x, held.value))
 
 
-def segment_search(frame: DataFrame, m: Model, text: str = "text", name: str = "words", limit: int = SEARCH_LIMIT) -> DataFrame:
-    """frame with an array of words by beam search; null for texts over the limit."""
+def segment_search(frame: DataFrame, m: Model, text: str = "text", name: str = "words") -> DataFrame:
+    """frame with an array of words by beam search, which is linear in the characters; texts of any length."""
     held = frame.sparkSession.sparkContext.broadcast(m)
-    return _mapped(frame, text, name, lambda: lambda x: held.value.segment(x) if len(x) <= limit else None)
+    return _mapped(frame, text, name, lambda: lambda x: held.value.segment(x))

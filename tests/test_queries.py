@@ -31,6 +31,18 @@ def test_segmentation_keeps_the_text(spark):
     assert tagging.hmm_accuracy(spark, SF).select(F.col("accuracy")).first()[0] > 60
 
 
+def test_search_segments_long_sentences(spark, monkeypatch):
+    from lexmill.operators import segment
+    from lexmill.plans import tagging
+
+    gold = spark.createDataFrame([(1, ["ab"] * 13, "ab" * 13), (2, ["ab"] * 1500, "ab" * 1500), (3, ["ab"], "ab")], "sent_id long, words array<string>, text string")
+    monkeypatch.setattr(tagging, "_unspaced", lambda *_: gold)
+    monkeypatch.setattr(segment, "model", lambda *_: segment.Model({"ab": 1}, {}, {}, {}, {}, 1, 2))
+    assert {r.sent_id: len(r.words.split()) for r in tagging.segment_dp(spark, SF).collect()} == {1: 13, 2: 1500, 3: 1}
+    metrics = tagging.seg_dp_metrics(spark, SF).first()
+    assert metrics.n_gold == metrics.matched == 1514
+
+
 def test_editor_rows(spark):
     q = catalogue.queries()
     tokens = q["editor_tokens"](spark, SF)
