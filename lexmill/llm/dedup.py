@@ -7,19 +7,23 @@
 2. Each of BANDS bands of WIDTH registers puts a node in a bucket. A bucket's
    representative is its smallest node, in one of ORDERS orders by the band, so that
    members of a large group meet different representatives. Candidates are (member,
-   representative): linear in the members, however large a bucket is.
+   representative): linear in the members, however large a bucket is. Buckets of three
+   have a second one, after which all their pairs are candidates.
 3. Sketches estimate the similarity of a candidate jointly, by the likelihood of the
    counts of larger, equal and smaller registers; candidates far below the threshold
    go. Each member's best ones are confirmed on full sets; of the others, those whose
    ends are not connected by then. Confirmed links are joined to components.
 4. Buckets whose members besides the representative are still in several components
-   are compared inside, outsiders against all, in blocks of bounded size, by sketches
-   and then by longer ones; what is left is confirmed. So no link between two nodes
-   that share a bucket gets lost.
-
-A pair at the threshold shares no bucket with a chance of about 6e-7. Sets travel only
-for nodes that have a candidate. Components are found by alternating large-star and
-small-star steps over edges in the shared scratch folder.
+   are compared inside, exactly. First go the nodes that can have no link there: those
+   of whose shingles too few occur in any other such node. The rest falls into groups
+   that share buckets. Nodes outside of a group's largest component are compared with
+   all of the group, in blocks of bounded size, each node once in a block and not once
+   for each bucket; groups that hang together loosely go by bucket. So no link between
+   two nodes that share a bucket gets lost.
+
+A pair at the threshold shares no bucket with a chance of about 6e-7. Sets are made
+only for nodes with a likely candidate or in a bucket of step 4. Components are found by
+alternating large-star and small-star steps over edges in the shared scratch folder.
 """
 
 from __future__ import annotations
@@ -46,23 +50,17 @@ BASE, RATE, TOP = 1.125, 20.0, 255
 ORDERS = 2
 #: Candidates whose estimated similarity is below this are not confirmed: 3.9 standard errors under the threshold.
 CUT = 0.645
-#: Further registers that the last round computes for the nodes that are left, and the same bound with all registers.
-MORE, CUT_ALL = 1792, 0.713
 #: Best candidates of a member that are confirmed first.
 FIRST = 2
-#: Likeliest pairs of an outsider in a bucket and block that each round confirms; 0: all. The last is 0.
-ROUNDS = (0,)
-#: Equal registers that a pair has at least if its estimate reaches CUT; fewer are about 0.57.
-EQUAL = 145
-#: Rows of a block in a comparison within a bucket.
-BLOCK = 1000
+#: Rows of a block in an exact comparison, bytes of its sets, and shingles that are multiplied at once.
+BLOCK, BLOCK_BYTES, COLUMNS = 1000, 16 << 20, 4096
 #: Rows of two numbers up to this many are broadcast (about 40 MB in memory); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 WORDS = 200_000
 
 _rng = np.random.Generator(np.random.PCG64(20))
-_XOR = _rng.integers(0, 1 << 32, REGISTERS + MORE, dtype=np.uint32)[:, None]
-_MUL = (_rng.integers(0, 1 << 32, REGISTERS + MORE, dtype=np.uint32) | np.uint32(1))[:, None]
+_XOR = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)[:, None]
+_MUL = (_rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1))[:, None]
 _PLACE = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _words: dict[bytes, int] = {}
 
@@ -88,17 +86,16 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(total)
 
 
-def sketch(hashes: np.ndarray, first: int = 0, registers: int = REGISTERS) -> np.ndarray:
-    """Registers of a set of hashes, from number ``first`` on."""
-    xor, mul = _XOR[first : first + registers], _MUL[first : first + registers]
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Registers of a set of hashes."""
     small = (hashes ^ (hashes >> np.uint64(29))).astype(np.uint32)
-    least = np.full(registers, 0xFFFFFFFF, np.uint32)
-    buffer = np.empty((registers, min(256, len(small) or 1)), np.uint32)
+    least = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
+    buffer = np.empty((REGISTERS, min(256, len(small) or 1)), np.uint32)
     for at in range(0, len(small), 256):
         part = small[at : at + 256]
         held = buffer[:, : len(part)]
-        np.bitwise_xor(part[None, :], xor, out=held)
-        np.multiply(held, mul, out=held)
+        np.bitwise_xor(part[None, :], _XOR, out=held)
+        np.multiply(held, _MUL, out=held)
         np.minimum(least, held.min(axis=1), out=least)
     x = -np.log1p(-(least + 0.5) / 4294967296.0) / RATE
     return np.clip(np.floor(1.0 - np.log(x) / np.log(BASE)), 0, TOP).astype(np.uint8)
@@ -108,20 +105,20 @@ def _share(x: np.ndarray) -> np.ndarray:
     return -np.log1p(-x * (BASE - 1.0) / BASE) / np.log(BASE)
 
 
-def likely(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, cut: float = CUT, registers: int = REGISTERS) -> np.ndarray:
-    """Whether the maximum-likelihood similarity is at least cut, given register comparisons and set sizes.
+def likely(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Whether the maximum-likelihood similarity is at least CUT, given register comparisons and set sizes.
 
-    The log-likelihood is concave in the similarity, so its slope at cut decides. Sizes alone bound the similarity from above.
+    The log-likelihood is concave in the similarity, so its slope at the cut decides. Sizes alone bound the similarity from above.
     """
     n_a, n_b = n_a.astype(float), n_b.astype(float)
     u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
     fits = np.minimum(u, v) * 100 >= np.maximum(u, v) * THRESHOLD - 1e-9
-    at = np.minimum(cut, np.minimum(u / v, v / u) * (1 - 1e-9))
+    at = np.minimum(CUT, np.minimum(u / v, v / u) * (1 - 1e-9))
     step = 1e-6
 
     def log_likelihood(j: np.ndarray) -> np.ndarray:
         up, down = _share(u - v * j), _share(v - u * j)
-        equal = registers - larger - smaller
+        equal = REGISTERS - larger - smaller
         tiny = 1e-300
         return larger * np.log(np.maximum(up, tiny)) + smaller * np.log(np.maximum(down, tiny)) + equal * np.log(np.maximum(1.0 - up - down, tiny))
 
@@ -132,17 +129,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
 
 
-def _longer(sets: DataFrame) -> DataFrame:
-    """(node, more): the further registers of sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            more = [sketch(np.frombuffer(x.as_buffer(), np.uint64), REGISTERS, MORE).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(more, pa.binary())], ["node", "more"])
-
-    return sets.select("node", "shingles").mapInArrow(run, "node long, more binary")
-
-
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n, digest of the set and sketch; digest and sketch of an empty set are null."""
 
@@ -198,7 +184,8 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (node, rep) whose full sets are linked."""
-    joined = pairs.select("node", "rep").join(sets.select("node", "shingles"), "node").join(sets.select(F.col("node").alias("rep"), F.col("shingles").alias("rep_shingles")), "rep")
+    pairs = pairs.select("node", "rep")
+    joined = pairs.join(sets.select("node", "shingles"), "node").join(sets.select(F.col("node").alias("rep"), F.col("shingles").alias("rep_shingles")), "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,83 +239,114 @@ def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return _label(_label(pairs, labels, "node", "__a"), labels, "rep", "__b").filter("__a <> __b").select("node", "rep")
 
 
-def _inside(members: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataFrame, most: int) -> DataFrame:
-    """Likely pairs of different components within buckets, none of them its bucket's representative; an outsider's ``most`` likeliest ones.
+def _few_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of the ends of pairs."""
+    ends = materialise(pairs.select("node").union(pairs.select("rep")).distinct(), "ends")
+    return sets.join(_few(ends), "node", "left_semi")
 
-    With most = 0 all of them, but judged by further registers too.
-    """
-    rows = _label(_label(members.filter("node <> rep"), labels, "node", "comp"), labels, "rep", "main")
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("g"), F.count(F.when(F.col("comp") != F.col("main"), 1)).alias("k")).filter("lo <> hi")
-    rows = rows.join(mixed.select("key", "g", "k"), "key")
-    outside, blocks = F.col("comp") != F.col("main"), lambda n: F.ceil(n / F.lit(BLOCK))
-    outer, inner = blocks(F.col("k")), blocks(F.col("g") - F.col("k"))
-    rows = rows.select("key", "node", "comp", outside.alias("out"), outer.alias("outer"), inner.alias("inner"))
-    # members of buckets of one block meet once; larger ones are dealt to all pairs of blocks with an outsider's block
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows (key, node, comp) of buckets with several components."""
+    several = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    return rows.join(_few(materialise(several, "several")), "key", "left_semi")
+
+
+def _linkable(sets: DataFrame) -> DataFrame:
+    """(node, n) of nodes that have a share of THRESHOLD of their shingles in common with the others: no other node can have a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.frombuffer(x.as_buffer(), np.uint64).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *held])), pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in held]))], ["shingle", "node"])
+
+    held = sets.select("node", "shingles").mapInArrow(run, "shingle long, node long")
+    alone = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    sized = sets.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n"))
+    return sized.join(alone, "node", "left").filter((F.col("n") - F.coalesce("alone", F.lit(0))) * 100 >= F.col("n") * THRESHOLD).select("node", "n")
+
+
+def _units(rows: DataFrame) -> DataFrame:
+    """(unit, node, comp) from rows (key, node, comp): a unit is a group of nodes that share buckets, or one bucket of a group with fewer pairs in its buckets than in all."""
+    first = materialise(rows.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("g")), "firsts")
+    together = materialise(components(rows.join(_few(first), "key").select("node", F.col("first").alias("rep"))), "together")
+    size = together.groupBy("comp").agg(F.count(F.lit(1)).cast("double").alias("size"))
+    buckets = first.join(_few(together.withColumnRenamed("node", "first")), "first").select("key", F.col("comp").alias("group"), "g")
+    pairs = buckets.groupBy("group").agg(F.sum(F.col("g").cast("double") * F.col("g")).alias("pairs"))
+    loose = size.join(pairs, F.col("comp") == F.col("group")).select("group", (F.col("size") * F.col("size") > F.col("pairs")).alias("loose"))
+    unit = F.when(F.col("loose"), F.col("key")).otherwise(-1 - F.col("group"))
+    named = materialise(buckets.join(loose, "group").select("key", unit.alias("unit")), "named")
+    return rows.join(_few(named), "key").select("unit", "node", "comp").distinct()
+
+
+def _compared(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (node, rep) between different components within units; one for each two components of a block."""
+    by_comp = rows.groupBy("unit", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    of_unit = by_comp.groupBy("unit").agg(F.max(F.struct("c", "comp", "n")).alias("top"), F.sum("c").alias("c"), F.sum("n").alias("n"))
+
+    def blocks(c: Column, n: Column) -> Column:
+        return F.greatest(F.ceil(c / F.lit(BLOCK)), F.ceil(n * 8 / F.lit(BLOCK_BYTES)))
+
+    of_unit = of_unit.select("unit", F.col("top.comp").alias("main"), blocks(F.col("c") - F.col("top.c"), F.col("n") - F.col("top.n")).alias("outer"), blocks(F.col("top.c"), F.col("top.n")).alias("inner"))
+    rows = rows.join(_few(materialise(of_unit, "blocks")), "unit").withColumn("out", F.col("comp") != F.col("main"))
+    # units of one block of either kind meet once; larger ones are dealt to all pairs of blocks with an outsider's block
     zero = F.lit(0).cast("long")
-    small = rows.filter(F.col("outer") + F.col("inner") <= 2).select("key", "node", "comp", "out", zero.alias("own"), zero.alias("x"), zero.alias("y"))
-    large = rows.filter(F.col("outer") + F.col("inner") > 2)
+    small = rows.filter("outer + inner <= 2").select("unit", "node", "comp", "out", zero.alias("own"), zero.alias("x"), zero.alias("y"))
     own = F.when(F.col("out"), F.pmod(F.xxhash64("node"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.xxhash64("node"), F.greatest(F.col("inner"), F.lit(1))))
     last = F.when(F.col("out"), F.col("outer") + F.col("inner") - 1).otherwise(F.col("outer") - 1)
-    large = large.select("key", "node", "comp", "out", own.cast("long").alias("own"), F.explode(F.sequence(zero, last.cast("long"))).alias("other"))
-    rows = small.unionByName(large.select("key", "node", "comp", "out", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")))
-    info = nodes.select("node", "n", "sketch")
-    if not most:
-        rows = materialise(rows, "rows")
-        asked = materialise(rows.select("node").distinct(), "asked")
-        info = info.join(_longer(sets.join(_few(asked), "node", "left_semi")), "node")
-    rows = rows.join(info, "node")
+    large = rows.filter("outer + inner > 2").select("unit", "node", "comp", "out", own.cast("long").alias("own"), F.explode(F.sequence(zero, last.cast("long"))).alias("other"))
+    dealt = small.unionByName(large.select("unit", "node", "comp", "out", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")))
 
     def run(held: pa.Table) -> pa.Table:
-        col = {c: held.column(c).to_numpy() for c in ("key", "node", "comp", "n", "own", "x", "y", "out")}
-        m = _matrix(held.column("sketch"))
-        longer = None if most else np.frombuffer(b"".join(held.column("more").to_pylist()), np.uint8).reshape(-1, MORE)
-        node, comp, n, out = (col[c] for c in ("node", "comp", "n", "out"))
-        x, y, band = int(col["x"][0]), int(col["y"][0]), int(col["key"][0]) >> 40
-        left, right = np.flatnonzero(col["own"] == x), np.flatnonzero(col["own"] == y)
+        node, comp, own, out = (held.column(c).to_numpy() for c in ("node", "comp", "own", "out"))
+        x, y = held.column("x")[0].as_py(), held.column("y")[0].as_py()
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
         if x == y:
             left = left[out[left].astype(bool)]
-        found = []
-        step = max(1, 16_000_000 // (REGISTERS * max(1, len(right))))
-        for at in range(0, len(left), step):
-            rows = left[at : at + step]
-            close = (m[rows][:, None, :] == m[right][None, :, :]).sum(2) >= EQUAL
-            close &= comp[rows][:, None] != comp[right][None, :]
-            i, j = np.nonzero(close)
-            p, q = rows[i], right[j]
-            if x == y:  # two outsiders meet twice
-                keep = ~out[q].astype(bool) | (p < q)
-                p, q = p[keep], q[keep]
-            for part in range(0, len(p), 8192):
-                p8, q8 = p[part : part + 8192], q[part : part + 8192]
-                a, b = m[p8], m[q8]
-                first = (a == b)[:, : BANDS * WIDTH].reshape(-1, BANDS, WIDTH).all(2).argmax(1) == band
-                p8, q8, a, b = p8[first], q8[first], a[first], b[first]
-                larger, smaller = (a > b).sum(1), (a < b).sum(1)
-                ok = likely(larger, smaller, n[p8], n[q8])
-                if longer is not None and ok.any():
-                    p8, q8, larger, smaller = p8[ok], q8[ok], larger[ok], smaller[ok]
-                    a, b = longer[p8], longer[q8]
-                    larger, smaller = larger + (a > b).sum(1), smaller + (a < b).sum(1)
-                    ok = likely(larger, smaller, n[p8], n[q8], CUT_ALL, REGISTERS + MORE)
-                found.append(np.stack([p8[ok], q8[ok], (larger + smaller)[ok]], 1))
-        pairs = np.concatenate(found) if found else np.empty((0, 3), np.int64)
-        if most and len(pairs):
-            near = _nearest(pairs[:, 0], pairs[:, 2], most)
-            near |= _nearest(pairs[:, 1], pairs[:, 2], most) & out[pairs[:, 1]].astype(bool)
-            pairs = pairs[near]
-        return pa.table({"node": node[pairs[:, 0]], "rep": node[pairs[:, 1]]})
-
-    return rows.groupBy("key", "x", "y").applyInArrow(run, "node long, rep long")
-
-
-def _nearest(owner: np.ndarray, differ: np.ndarray, most: int) -> np.ndarray:
-    """Which pairs are among the first ``most`` of their owner by difference."""
-    order = np.lexsort((differ, owner))
-    owners = owner[order]
-    start = np.maximum.accumulate(np.where(np.r_[True, owners[1:] != owners[:-1]], np.arange(len(owners)), 0))
-    near = np.empty(len(owner), bool)
-    near[order] = np.arange(len(owners)) - start < most
-    return near
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in held.column("shingles")]
+        both = common(sets, left, right)
+        n = np.array(list(map(len, sets)), np.int64)
+        linked = (100 * both >= THRESHOLD * (n[left][:, None] + n[right][None, :] - both)) & (comp[left][:, None] != comp[right][None, :])
+        i, j = np.nonzero(linked)
+        p, q = left[i], right[j]
+        ends = np.sort(np.stack([comp[p], comp[q]], 1), 1)
+        one = np.unique(ends, axis=0, return_index=True)[1]
+        return pa.table({"node": node[p[one]], "rep": node[q[one]]})
+
+    return dealt.join(sets.select("node", "shingles"), "node").groupBy("unit", "x", "y").applyInArrow(run, "node long, rep long").distinct()
+
+
+def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets: a matrix of those numbered left and right, by products of 0/1 matrices, COLUMNS shingles at once."""
+    shingles, place, count = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    shared = count[place] > 1
+    place, owner = (np.cumsum(count > 1) - 1)[place[shared]], owner[shared]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    total = np.zeros((len(left), len(right)), np.float32)
+    rows = np.zeros((len(sets), COLUMNS), np.float32)
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        lo, hi = np.searchsorted(place, (at, at + COLUMNS))
+        rows[:] = 0
+        rows[owner[lo:hi], place[lo:hi] - at] = 1
+        total += rows[left] @ rows[right].T
+    return np.rint(total).astype(np.int64)
+
+
+def _rest(docs: DataFrame, members: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """Links between different components within the buckets of four members and more, none of them a representative's."""
+    rows = materialise(_mixed(_label(members.filter("more and node <> rep").select("key", "node"), labels, "node", "comp")), "mixed")
+    if rows.isEmpty():
+        return None
+    asked = materialise(rows.select("node").distinct(), "asked")
+    new = _sets(docs, nodes, asked.join(sets.select("node"), "node", "left_anti"), id_col, text_col)
+    sets = sets.join(_few(asked), "node", "left_semi").unionByName(new)
+    linkable = materialise(_linkable(sets), "linkable")
+    rows = materialise(_mixed(rows.join(_few(linkable.select("node")), "node", "left_semi")), "linkable-rows")
+    if rows.isEmpty():
+        return None
+    units = materialise(_units(rows).join(_few(linkable), "node"), "units")
+    return materialise(_compared(units, sets), "links")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,52 +362,71 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     held = materialise(sketches(docs, id_col, text_col), "sketches")
     distinct = held.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("n", "sketch")).alias("s"))
     nodes = materialise(distinct.select(F.monotonically_increasing_id().alias("node"), "digest", "first_id", "s.n", "s.sketch"), "nodes")
-    keyed = _buckets(nodes)
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min(F.col("node").bitwiseXOR(_salt(F.col("key")))).alias("m")).filter("g > 1")
-    buckets = materialise(buckets.select("key", F.col("m").bitwiseXOR(_salt(F.col("key"))).alias("rep")), "buckets")
-    members = materialise(keyed.join(_few(buckets), "key"), "members")
-    stars = materialise(_estimated(members.filter("node <> rep").select("node", "rep").distinct(), nodes), "stars")
-    sets = _sets(docs, held, nodes, members, id_col, text_col)
-    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("same"), "rep"))
-    ranked = stars.withColumn("__at", best)
+    members = _members(nodes)
+    stars = materialise(_estimated(_candidates(members), nodes), "stars")
+    sets = _sets(docs, nodes, stars.select("node").union(stars.select("rep")).distinct(), id_col, text_col)
+    ranked = stars.withColumn("__at", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("same"), "rep")))
     links = materialise(_confirmed(ranked.filter(F.col("__at") <= FIRST), sets), "links")
     labels = materialise(components(links), "labels")
-    more = materialise(_confirmed(_crossing(ranked.filter(F.col("__at") > FIRST), labels), sets), "links")
-    labels = _merged(labels, more)
-    for most in ROUNDS:
-        rest = materialise(_confirmed(_inside(members, nodes, labels, sets, most), sets), "links")
-        if not rest.isEmpty():
-            labels = _merged(labels, rest)
-    named = _label(nodes.select("node", "digest", "first_id"), labels, "node", "comp")
-    ids = named.groupBy("comp").agg(F.min("first_id").alias("component"))
-    by_digest = named.join(ids, "comp").select("digest", "component")
-    joined = held.select("doc_id", "n", "digest").join(by_digest, "digest", "left")
+    crossing = materialise(_crossing(ranked.filter(F.col("__at") > FIRST), labels), "crossing")
+    labels = _merged(labels, materialise(_confirmed(crossing, _few_sets(crossing, sets)), "links"))
+    rest = _rest(docs, members, nodes, labels, sets, id_col, text_col)
+    if rest is not None and not rest.isEmpty():
+        labels = _merged(labels, rest)
+    named = labels.join(nodes.select("node", "digest", "first_id"), "node")
+    ids = materialise(named.groupBy("comp").agg(F.min("first_id").alias("component")), "components")
+    by_digest = named.join(_few(ids), "comp").select("digest", F.col("component").alias("linked"))
+    alone = nodes.select("digest", "first_id").join(materialise(by_digest, "linked"), "digest", "left").select("digest", F.coalesce("linked", "first_id").alias("component"))
+    joined = held.select("doc_id", "n", "digest").join(alone, "digest", "left")
     component = F.coalesce("component", "doc_id")
     return joined.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
+def _members(nodes: DataFrame) -> DataFrame:
+    """(key, node, rep, last, more) of buckets of two nodes and more; last is the second representative of a bucket of three, more tells larger ones."""
+    keyed, place = _buckets(nodes), F.col("node").bitwiseXOR(_salt(F.col("key")))
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min(place).alias("lo"), F.max(place).alias("hi")).filter("g > 1")
+    at = _salt(F.col("key"))
+    buckets = buckets.select("key", F.col("lo").bitwiseXOR(at).alias("rep"), F.when(F.col("g") == 3, F.col("hi").bitwiseXOR(at)).alias("last"), (F.col("g") > 3).alias("more"))
+    return materialise(keyed.join(_few(materialise(buckets, "buckets")), "key"), "members")
+
+
+def _candidates(members: DataFrame) -> DataFrame:
+    """Distinct (node, rep) of members and their buckets' representatives."""
+    others = members.filter("node <> rep")
+    second = others.filter("node <> last").select(F.greatest("node", "last").alias("node"), F.least("node", "last").alias("rep"))
+    return others.select("node", "rep").union(second).distinct()
+
+
 def _few(frame: DataFrame) -> DataFrame:
     """A broadcast of a narrow materialised table if it is small enough; itself otherwise."""
     return F.broadcast(frame) if frame.count() <= BROADCAST_IDS else frame
 
 
-def _sets(docs: DataFrame, held: DataFrame, nodes: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles) of all nodes that have a candidate, from the texts of their first documents."""
-    asked = members.select("node").distinct()
-    wanted = materialise(nodes.join(asked, "node").select("node", "digest", F.col("first_id").alias("doc_id")), "wanted")
-    texts = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").join(_few(wanted.select("node", "digest", "doc_id")), "doc_id")
+def _sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles) of the nodes asked for, from the texts of their first documents."""
+    wanted = materialise(nodes.select("node", "digest", F.col("first_id").alias("doc_id")).join(asked, "node"), "wanted")
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    again = materialise(ids.join(_few(wanted.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(True).alias("again")), "again")
+    wanted = materialise(wanted.join(_few(again), "doc_id", "left"), "wanted")
+    texts = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").join(_few(wanted), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, digest, text = (batch.column(i) for i in range(3))
+            node, again, digest, text = batch.columns
             sets, ok = [], []
             for t, d in zip(text, digest, strict=True):
                 s = shingle_set(t.as_py())
                 ok.append(len(s) > 0 and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d.as_py())
                 sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([node, pa.array(sets, pa.binary())], ["node", "shingles"]).filter(pa.array(ok, pa.bool_()))
-
-    return materialise(texts.select("node", "digest", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+            yield pa.RecordBatch.from_arrays([node, again, pa.array(sets, pa.binary())], ["node", "again", "shingles"]).filter(pa.array(ok, pa.bool_()))
+
+    held = materialise(texts.select("node", "again", "digest", "text").mapInArrow(run, "node long, again boolean, shingles binary"), "sets")
+    if again.isEmpty():
+        return held.select("node", "shingles")
+    # ids that stand in several rows: their texts may be equal, too
+    once = held.filter("again").select("node", "shingles").dropDuplicates(["node"])
+    return held.filter("again is null").select("node", "shingles").union(materialise(once, "once"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
