@@ -16,7 +16,11 @@ exactly one token sequence for every byte string: its BPE encoding.
 
 A pre-split word is encoded by walking the automaton from the start: from a state,
 take the longest arc that matches the coming bytes and is open, and step back where
-none is. Words already read are kept in a table of bounded size.
+none is. Many words are encoded at once by tables: labels stand in a tree of byte
+transitions, which finds the arcs that match at all bytes of all words; then, byte by byte
+from the start of the words, the only open arc into each place fixes the state there, and
+the last states lead back through the words. Words already read are kept in a table of
+bounded size, which forgets those not read for long.
 """
 
 from __future__ import annotations
@@ -24,8 +28,11 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import regex
 
 #: The file's pre-splitting pattern.
@@ -34,8 +41,12 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 LATIN_PATTERN = rf" ?[{LATIN}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+"
 NOT_LATIN = rf"[^{LATIN}\n -~\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2013-\u2026]"
-#: Words that a process remembers; about 150 bytes each.
-WORDS = 400_000
+#: Words that a process remembers in each of two tables, about 150 bytes each, and arcs whose state it remembers.
+WORDS, ARCS = 400_000, 400_000
+#: Characters of texts that are split at once, and words encoded at once.
+CHARS, AT_ONCE = 2_000_000, 32_768
+#: Slots of the table of arcs known to be open or closed, as a power of two.
+SLOTS = 20
 NEVER = 1 << 30
 
 
@@ -46,6 +57,26 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Remembered(dict):
+    """Ids of words as find gives them. When ``size`` words are held they become the older ones, and the older ones are forgotten unless read again."""
+
+    def __init__(self, find: Callable[[str], bytes], size: int) -> None:
+        super().__init__()
+        self.find, self.size = find, size
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.find(word)
+        if len(word) < 64:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Automaton:
     """Compiled from a byte-level BPE file of the tokenizers library."""
 
@@ -60,6 +91,8 @@ class Automaton:
         self.labels |= {i: text.encode() for text, i in self.specials.items()}
         self.ids = {raw[name]: i for name, i in vocab.items()}
         self.longest = max(map(len, self.ids))
+        self.tree = self._tree()
+        self.depth = [0]
         self.first: dict[int, int] = {}
         self.absorbed: dict[int, int] = {}
         self.second: dict[int, int] = {}
@@ -68,101 +101,211 @@ class Automaton:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self._gadget(k, vocab[a], vocab[b], vocab[a + b])
         self.open: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
+        self.left: dict[int, tuple[tuple[int, int], ...]] = {}
+        self.right: dict[int, tuple[tuple[int, int], ...]] = {}
+        self.words = Remembered(lambda word: array("I", self.walk(word.encode())).tobytes(), WORDS)
+        #: Ids of a pre-split word as little-endian unsigned 32-bit integers, through the table of known words.
+        self.word = self.words.__getitem__
+        self._compile()
         self.find_any = regex.compile(PATTERN).findall
         self.find_latin, self.not_latin = re.compile(LATIN_PATTERN).findall, re.compile(NOT_LATIN).search
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
 
+    def _tree(self) -> dict[int, tuple[dict, tuple]]:
+        """From a byte to the table of the next byte and all labels on the way here as (size, token), the longest first."""
+        tree: dict = {}
+        for label in sorted(self.ids):  # a label's prefixes come before it
+            table, arcs = tree, ()
+            for byte in label[:-1]:
+                table, arcs = table.setdefault(byte, ({}, arcs))
+            table[label[-1]] = ({}, ((len(label), self.ids[label]), *arcs))
+        return tree
+
     def _gadget(self, k: int, a: int, b: int, c: int) -> None:
         self.gadgets[a << 20 | b] = k
         self.first[c], self.second[c], self.absorbed[c] = a, b, k
 
-    def removed(self, state: int, arc: int) -> int:
-        """The number of the gadget that took an arc from a state; NEVER if none did."""
-        until = NEVER
-        while True:
-            k = self.gadgets.get(state << 20 | arc, NEVER)
-            if k < until:
-                return k
-            if state not in self.second:
-                return NEVER
-            until, state = self.absorbed[state], self.second[state]
+    def _edge(self, token: int, part: dict[int, int], held: dict[int, tuple[tuple[int, int], ...]]) -> tuple[tuple[int, int], ...]:
+        """A token, its first (or last) part, that one's, and so on, each with the number of the gadget that absorbed it."""
+        found = held.get(token)
+        if found is None:
+            own = part.get(token)
+            found = ((token, NEVER), *((x, min(k, self.absorbed[token])) for x, k in self._edge(own, part, held))) if own is not None else ((token, NEVER),)
+            held[token] = found
+        return found
 
     def is_open(self, state: int, token: int) -> bool:
         """Whether the arc ``token`` leaves the state of the last token ``state``."""
-        key = state << 20 | token
-        known = self.open.get(key)
-        if known is None:
-            edge, until, known = token, NEVER, True
-            while True:
-                k = self.removed(state, edge)
-                if k != NEVER and k <= until:
-                    known = False
-                    break
-                if edge not in self.first:
+        gadgets, known = self.gadgets, True
+        right = self.right.get(state) or self._edge(state, self.second, self.right)
+        for edge, until in self.left.get(token) or self._edge(token, self.first, self.left):
+            for last, copied in right:
+                k = gadgets.get(last << 20 | edge)
+                if k is not None and k < copied:
+                    if k <= until:
+                        known = False
                     break
-                until, edge = self.absorbed[edge], self.first[edge]
-            if len(self.open) > WORDS:
-                self.open.clear()
-            self.open[key] = known
+            if not known:
+                break
+        if len(self.open) > ARCS:
+            self.open.clear()
+        self.open[state << 20 | token] = known
         return known
 
     def walk(self, word: bytes) -> list[int]:
         """The only accepted token sequence of the bytes of one pre-split word."""
-        ids, is_open, known, longest = self.ids, self.is_open, self.open, self.longest
-        whole = ids.get(word)
-        if whole is not None:  # every label is itself an arc from the start
-            return [whole]
-        n, out, ends = len(word), [], [0]
+        tree, known, longest, n = self.tree, self.open, self.longest, len(word)
+        out: list[int] = []
+        #: Where each token of out starts, the shorter arcs that remain there, and the state it left.
+        steps: list[tuple[int, Iterator[tuple[int, int]], int | None]] = []
         dead: set[tuple[int, int]] = set()
-        at, size, last = 0, min(longest, n), -1
+        at, state = 0, None
         while at < n:
-            while size:
-                token = ids.get(word[at : at + size])
-                if token is not None and (last < 0 or (x if (x := known.get(last << 20 | token)) is not None else is_open(last, token))) and (at, token) not in dead:
+            table = tree
+            for byte in word[at : at + longest]:
+                found = table.get(byte)
+                if found is None:
                     break
-                size -= 1
-            if size:
-                out.append(token)
-                at += size
-                ends.append(at)
-                last, size = token, min(longest, n - at)
-            else:
-                dead.add((ends[-2], out.pop()))
-                ends.pop()
-                size = at - ends[-1] - 1
-                at = ends[-1]
-                last = out[-1] if out else -1
+                table, arcs = found
+            left = iter(arcs)
+            while True:
+                for size, token in left:
+                    if state is None:
+                        is_open = True
+                    else:
+                        is_open = known.get(state | token)
+                        if is_open is None:
+                            is_open = self.is_open(state >> 20, token)
+                    if is_open and not (dead and (at, token) in dead):
+                        break
+                else:
+                    at, left, state = steps.pop()
+                    dead.add((at, out.pop()))
+                    continue
+                break
+            steps.append((at, left, state))
+            out.append(token)
+            at += size
+            state = token << 20
         return out
 
-    def word(self, word: str) -> bytes:
-        """Ids of a pre-split word as little-endian unsigned 32-bit integers, through the table of known words."""
-        found = self.words.get(word)
-        if found is None:
-            found = b"".join(i.to_bytes(4, "little") for i in self.walk(word.encode()))
-            if len(self.words) < WORDS and len(word) < 64:
-                self.words[word] = found
-        return found
+    def _compile(self) -> None:
+        """Byte tables of the label tree: from a node and a byte to the next node and to the label that ends there; -1 for none."""
+        inner, rows = [self.tree], []
+        for table in inner:  # grows while it is read
+            row = []
+            for byte, (below, arcs) in table.items():
+                row.append((byte, len(inner) if below else -1, arcs[0][1] if arcs and arcs[0][0] == self.depth[len(rows)] + 1 else -1))
+                if below:
+                    inner.append(below)
+                    self.depth.append(self.depth[len(rows)] + 1)
+            rows.append(row)
+        self.go, self.ends = (np.full((len(rows), 256), -1, np.int32) for _ in range(2))
+        for node, row in enumerate(rows):
+            for byte, below, token in row:
+                self.go[node, byte], self.ends[node, byte] = below, token
+        self.sizes = np.zeros(max(self.labels) + 1, np.int64)
+        for token, label in self.labels.items():
+            self.sizes[token] = len(label)
+        self.slot_keys, self.slot_open = np.full(1 << SLOTS, -1, np.int64), np.zeros(1 << SLOTS, bool)
+
+    def _open(self, keys: np.ndarray) -> np.ndarray:
+        """is_open of many arcs, given as state << 20 | token."""
+        slots = ((keys * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(64 - SLOTS)).astype(np.int64)
+        open_ = self.slot_open[slots]
+        unknown = np.flatnonzero(self.slot_keys[slots] != keys)
+        if len(unknown):
+            asked, place = np.unique(keys[unknown], return_inverse=True)
+            told = np.empty(len(asked), bool)
+            for i, key in enumerate(asked.tolist()):
+                known = self.open.get(key)
+                told[i] = self.is_open(key >> 20, key & 0xFFFFF) if known is None else known
+            open_[unknown] = told[place]
+            self.slot_keys[slots[unknown]], self.slot_open[slots[unknown]] = keys[unknown], open_[unknown]
+        return open_
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of pre-split words, each as walk() gives them."""
+        raw = [w.encode() for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        text = np.frombuffer(b"".join(raw), np.uint8)
+        start = np.cumsum(size) - size
+        end_of = np.repeat(start + size, size)
+        offset = np.arange(len(text)) - np.repeat(start, size)
+        # all arcs by their first byte
+        at, node, found, step = np.arange(len(text)), np.zeros(len(text), np.int32), [], 0
+        while len(at):
+            byte = text[at + step]
+            token = self.ends[node, byte]
+            hit = np.flatnonzero(token >= 0)
+            found.append((at[hit], at[hit] + step, token[hit]))
+            node, step = self.go[node, byte], step + 1
+            on = np.flatnonzero((node >= 0) & (at + step < end_of[at]))
+            at, node = at[on], node[on]
+        first, last, token = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(offset[first], kind="stable")
+        first, last, token = first[order], last[order], token[order]
+        upto = np.searchsorted(offset[first], np.arange(int(size.max()) + 1))
+        # the token that ends at each byte, from the starts of the words on
+        state = np.full(len(text), -1, np.int64)
+        state[last[: upto[1]]] = token[: upto[1]]
+        for k in range(1, len(upto) - 1):
+            a, b, t = first[upto[k] : upto[k + 1]], last[upto[k] : upto[k + 1]], token[upto[k] : upto[k + 1]].astype(np.int64)
+            new = np.flatnonzero(state[b] < 0)
+            b, t = b[new], t[new]
+            is_open = self._open(state[a[new] - 1] << 20 | t)
+            state[b[is_open]] = t[is_open]
+        # back through the words
+        word, at, owners, tokens = np.arange(len(raw)), start + size - 1, [], []
+        while len(word):
+            t = state[at]
+            owners.append(word)
+            tokens.append(t)
+            at = at - self.sizes[t]
+            on = np.flatnonzero(at >= start[word])
+            word, at = word[on], at[on]
+        owner, token = np.concatenate(owners[::-1]), np.concatenate(tokens[::-1])
+        ids = token[np.argsort(owner, kind="stable")].astype("<u4").tobytes()
+        upto = (4 * np.cumsum(np.bincount(owner, minlength=len(raw)))).tolist()
+        return [ids[a:b] for a, b in zip([0, *upto], upto, strict=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Puts words into the table of known words, all that are new at once."""
+        known, older = self.words, self.words.older
+        new = [w for w in words if w not in known and w not in older and len(w) < 64]
+        for i in range(0, len(new), AT_ONCE):
+            part = new[i : i + AT_ONCE]
+            if len(known) + len(part) > known.size:
+                known.older = dict(known)
+                known.clear()
+            known.update(zip(part, self.encode_words(part), strict=True))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """encode() of every text, some CHARS characters at once."""
+        i = 0
+        while i < len(texts):
+            parts, chars = [], 0
+            while i < len(texts) and (not parts or chars + len(texts[i]) <= CHARS):
+                chars += len(texts[i])
+                parts.append([x if x in self.specials else self.split(x) for x in self.cut_specials(texts[i])])
+                i += 1
+            self._learn(set().union(*(x for pieces in parts for x in pieces if isinstance(x, list))))
+            for pieces in parts:
+                yield b"".join(self.specials[x].to_bytes(4, "little") if isinstance(x, str) else b"".join(map(self.word, x)) for x in pieces)
+
+    def cut_specials(self, text: str) -> list[str]:
+        """The text cut at special tokens, which are pieces of their own."""
+        if self.cut is None or not any(x in text for x in self.specials):
+            return [text]
+        return [x for x in self.cut.split(text) if x]
 
     def split(self, text: str) -> list[str]:
         """The pre-split words of a text."""
         return self.find_any(text) if self.not_latin(text) else self.find_latin(text)
 
-    def _plain(self, text: str) -> bytes:
-        words = self.split(text)
-        found = list(map(self.words.get, words))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    found[i] = self.word(words[i])
-        return b"".join(found)
-
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers; special tokens in the text get their ids."""
-        if self.cut is None or not any(x in text for x in self.specials):
-            return self._plain(text)
-        parts = self.cut.split(text)
-        return b"".join(self.specials[x].to_bytes(4, "little") if x in self.specials else self._plain(x) for x in parts if x)
+        return next(self.encode_all([text]))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: the labels of the arcs, one after another, read as UTF-8."""

@@ -168,8 +168,8 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, keep_ids: bool, id_co
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             source, rows = [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = coder.encode(text.as_py() or "") + end
+            for i, ids in enumerate(coder.encode_all([x or "" for x in batch.column(1).to_pylist()])):
+                ids += end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * (start + length)]
                     source.append(i)

@@ -50,8 +50,7 @@ def round_trip(
         coder = bpe.automaton(tokenizer_path(tokenizer))
         for batch in batches:
             counts, ids_sha, text_sha, all_ids, all_text = [], [], [], [], []
-            for text in batch.column(1):
-                ids = coder.encode(text.as_py() or "")
+            for ids in coder.encode_all([x or "" for x in batch.column(1).to_pylist()]):
                 decoded = coder.decode(ids)
                 counts.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
