@@ -1,14 +1,16 @@
 """Main-text extraction from HTML by tag-path ratios.
 
-Every run of text is a leaf with its path of elements from the root, by tag and
+Every run of text is a leaf with its path of block elements from the root, by tag and
 class. Over all leaves of one path, text length and punctuation are summed and set
 against the number of leaves. The two ratios, in page order, are smoothed with their
-neighbours, fused to one score and compared with a threshold for each path. Paths of
-the content mark an element; all its leaves but those of menus, forms, adverts and the
-like are the main text. Words in class, id or role only make an element suspect: it
-stays if it is or wraps the article, is a heading, or holds most of the text of a page
-without article, and within an article unless it is mostly links. Pages are read
-alone, in Arrow batches; nothing is shuffled.
+neighbours and fused to one score for each path. Two thresholds, as shares of the
+largest score, select: paths over THRESHOLD are content, and what they have in common
+is the element that holds it; inside of it every path over WEAK stays. Only tags that
+name a menu, footer, form or the like drop their text outright. Words in class, id or
+role lower the score of a path, as links do, unless the element is or wraps the article,
+is a heading, or holds most of the text of a page without article; within an article
+they lower it only if most of the element is links. Pages are read alone, in Arrow
+batches; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
+from math import log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +35,8 @@ WORD = re.compile(r"[a-z]+|[0-9]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？¿¡]")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math canvas object select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br img".split())
+RAW = frozenset("script style textarea title iframe template xmp noembed noframes svg canvas object select".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br img noscript math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mstyle mpadded mphantom mfenced semantics annotation".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An opening tag ends an open element of the second kind, if none of the third stands between.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -52,20 +55,23 @@ MAIN_TAGS = frozenset({"article", "main"})
 KEPT_TAGS = MAIN_TAGS | frozenset("html body h1 h2 h3 h4 h5 h6".split())
 #: Elements of text alone: their parent takes their place as holder of the content.
 TEXT_TAGS = INLINE | frozenset("p li td th tr tbody ul ol dl dt dd table pre blockquote section h1 h2 h3 h4 h5 h6".split())
-#: A path is content if its score reaches this share of the largest.
-THRESHOLD = 0.2
+#: Shares of the largest score from which a path is content, and from which it stays beside content.
+THRESHOLD, WEAK = 0.5, 0.08
+#: What the score of a path is multiplied by if it is suspect, if it is all links, and if it is not in the article of a page that has one.
+LOWERED, LINKED, OUTSIDE = 0.05, 0.3, 0.25
 
 SCHEMA = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "dropped", "suspect", "main", "depth", "wraps", "size", "linked")
+    __slots__ = ("tag", "path", "parent", "dropped", "suspect", "main", "depth", "wraps", "size", "linked", "lowered")
 
     def __init__(self, tag: str, label: str, parent: _Element | None, dropped: bool, main: bool, suspect: bool = False) -> None:
         self.tag, self.parent, self.dropped, self.main, self.suspect = tag, parent, dropped, main, suspect
         # whether an article is inside; characters of text, and those of them in links
         self.wraps, self.size, self.linked = False, 0, 0
-        self.path = f"{parent.path}/{label}" if parent else label
+        self.path = (parent.path if tag in INLINE else f"{parent.path}/{label}") if parent else label
+        self.lowered = False
         self.depth = parent.depth + 1 if parent else 0
 
 
@@ -113,7 +119,7 @@ def leaves(html: str) -> list[tuple[int, _Element, str]]:
         tag = m[2].lower()
         if not m[4]:
             break  # the page ends within a tag
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in RAW:
             block += 1
         elif tag == "br":
             out.append((block, top, " "))
@@ -147,7 +153,7 @@ def leaves(html: str) -> list[tuple[int, _Element, str]]:
         in_main = top.main
         main = in_main or tag in MAIN_TAGS or "main" in words and tag in ("div", "section")
         dropped = top.dropped or hidden or tag in DROPPED_TAGS and tag != "form"
-        suspect = tag == "form" or tag not in KEPT_TAGS and (bool(words & DROPPED_WORDS) or not in_main and (tag == "header" or bool(words & HEADER_WORDS)))
+        suspect = tag == "form" or tag == "noscript" and not in_main or tag not in KEPT_TAGS and (bool(words & DROPPED_WORDS) or not in_main and (tag == "header" or bool(words & HEADER_WORDS)))
         if not m[3].endswith("/"):
             top = _Element(tag, tag + label, top, dropped, main, suspect)
             if tag in MAIN_TAGS and not dropped:
@@ -160,7 +166,7 @@ def leaves(html: str) -> list[tuple[int, _Element, str]]:
 
 
 def _settle(runs: list[tuple[int, _Element, str]], root: _Element) -> None:
-    """Marks the suspect elements that are dropped, and all within them."""
+    """Marks the suspect elements whose paths are lowered, and all within them."""
     chains: dict[_Element, list[_Element]] = {}
     for _, element, text in runs:
         if element.dropped or text.isspace():
@@ -184,7 +190,8 @@ def _settle(runs: list[tuple[int, _Element, str]], root: _Element) -> None:
             x = x.parent
         for x in reversed(chain):
             settled.add(x)
-            x.dropped = x.dropped or x.parent.dropped or x.suspect and not _spared(x, root)
+            x.dropped = x.dropped or x.parent.dropped
+            x.lowered = x.parent.lowered or x.suspect and not _spared(x, root)
 
 
 def _spared(x: _Element, root: _Element) -> bool:
@@ -193,19 +200,21 @@ def _spared(x: _Element, root: _Element) -> bool:
     return x.tag != "form" and x.main and 2 * x.linked < x.size
 
 
-def path_scores(runs: list[tuple[int, _Element, str]]) -> dict[str, float]:
-    """The smoothed and fused score of each path that may hold content."""
-    length: dict[str, int] = defaultdict(int)
-    marks: dict[str, int] = defaultdict(int)
-    count: dict[str, int] = defaultdict(int)
+def path_scores(runs: list[tuple[int, _Element, str]]) -> dict[tuple[str, bool], float]:
+    """The smoothed and fused score of each path that may hold content, lowered or not."""
+    length: dict[tuple[str, bool], int] = defaultdict(int)
+    marks: dict[tuple[str, bool], int] = defaultdict(int)
+    links: dict[tuple[str, bool], int] = defaultdict(int)
+    count: dict[tuple[str, bool], int] = defaultdict(int)
     order = []
     for _, element, text in runs:
         if text.isspace():
             continue
-        path = element.path
+        path = element.path, element.lowered
         order.append((path, element.dropped, element.main))
         length[path] += len(text)
         marks[path] += len(PUNCTUATION.findall(text))
+        links[path] += len(text) if _in_link(element) else 0
         count[path] += 1
     sizes = [0.0 if dropped else length[p] / count[p] for p, dropped, _ in order]
     points = [0.0 if dropped else marks[p] / count[p] for p, dropped, _ in order]
@@ -214,12 +223,22 @@ def path_scores(runs: list[tuple[int, _Element, str]]) -> dict[str, float]:
         padded = [x[0], *x, x[-1]]
         return [(a + 2 * b + c) / 4 for a, b, c in zip(padded, padded[1:], padded[2:], strict=False)]
 
-    total: dict[str, float] = defaultdict(float)
+    total: dict[tuple[str, bool], float] = defaultdict(float)
     if order:
+        some_main = any(main and not dropped for _, dropped, main in order)
         for (path, dropped, main), a, b in zip(order, smooth(sizes), smooth(points), strict=True):
             if not dropped:
-                total[path] += (a * (1.0 + b)) ** 0.5 * (4.0 if main else 1.0)
-    return {p: s / count[p] for p, s in total.items()}
+                weight = (LOWERED if path[1] else 1.0) * (1.0 if main or not some_main else OUTSIDE)
+                total[path] += log(3.0 + a * (1.0 + b)) * weight
+    return {p: s / count[p] * (1.0 - (1.0 - LINKED) * links[p] / length[p]) for p, s in total.items()}
+
+
+def _in_link(x: _Element | None) -> bool:
+    while x is not None and x.tag in INLINE:
+        if x.tag == "a":
+            return True
+        x = x.parent
+    return x is not None and x.tag == "a"
 
 
 def _common(a: _Element, b: _Element) -> _Element:
@@ -238,8 +257,8 @@ def main_text(html: str) -> str:
     scores = path_scores(runs)
     if not scores:
         return ""
-    least = THRESHOLD * max(scores.values())
-    passing = {e for _, e, text in runs if not e.dropped and not text.isspace() and scores.get(e.path, 0.0) >= least}
+    most = max(scores.values())
+    passing = {e for _, e, text in runs if not e.dropped and not text.isspace() and scores[e.path, e.lowered] >= THRESHOLD * most}
     holder: _Element | None = None
     for x in passing:
         holder = x if holder is None else _common(holder, x)
@@ -251,7 +270,7 @@ def main_text(html: str) -> str:
     strict = holder is not None and not holder.main and any(x.main for x in passing)
     blocks: dict[int, list[str]] = defaultdict(list)
     for block, element, text in runs:
-        if element.dropped or strict and not element.main and element not in passing and not text.isspace():
+        if element.dropped or not text.isspace() and (scores[element.path, element.lowered] < WEAK * most or strict and not element.main and element not in passing):
             continue
         x = element
         while x is not None and x is not holder:

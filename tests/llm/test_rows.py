@@ -142,6 +142,35 @@ SPREAD = {
 }
 
 
+KEPT = {
+    "result class": (f'<body><div class="search-result article"><p>{LONG}</p></div></body>', WHOLE),
+    "has sidebar": (f'<body><div class="has-sidebar wrap"><div class="post"><h1>T</h1><p>{LONG}</p></div></div></body>', f"T\n{WHOLE}"),
+    "notice": (f'<article><p>{LONG}</p><blockquote class="notice">{LONG}</blockquote><p>End.</p></article>', f"{WHOLE}\n{WHOLE}\nEnd."),
+    "math": (f"<article><p>{LONG} Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold<script>a()</script>, and <noscript>so</noscript> on.</p></article>", f"{WHOLE} Let x=1 hold, and so on."),
+    "links": (f'<div id="a"><p>{LONG}</p><p>See <a href="x">this page, that page</a> also.</p></div>', f"{WHOLE}\nSee this page, that page also."),
+}
+
+
+@pytest.mark.parametrize("name", KEPT)
+def test_article_text_is_kept(name):
+    assert html.main_text(KEPT[name][0]) == KEPT[name][1]
+
+
+SCORED = f'<body><div id="x"><div class="promo">Buy now, and save!</div><p>{LONG}</p><div class="sidebar">Side, bar.</div><p>{LONG}</p><ul class="toc"><li><a href="1">One</a><li><a href="2">Two</a></ul></div><div>Site title</div></body>'
+
+
+def test_scores_select_the_text(monkeypatch):
+    assert html.main_text(SCORED) == f"{WHOLE}\n{WHOLE}"
+    scores = html.path_scores
+    with monkeypatch.context() as m:
+        m.setattr(html, "path_scores", lambda runs: dict.fromkeys(scores(runs), 1.0))
+        assert html.main_text(SCORED) != f"{WHOLE}\n{WHOLE}"
+    with monkeypatch.context() as m:
+        m.setattr(html, "THRESHOLD", 0.0)
+        m.setattr(html, "WEAK", 0.0)
+        assert html.main_text(SCORED) != f"{WHOLE}\n{WHOLE}"
+
+
 @pytest.mark.parametrize("name", WRAPPED)
 def test_words_of_classes_alone_drop_nothing(name):
     assert html.main_text(WRAPPED[name][0]) == WRAPPED[name][1]
@@ -162,6 +191,7 @@ def test_pages(spark):
         inner = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1]
         lines = [" ".join(unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
         want[r.url] = "\n".join(x for x in lines if x)
+    assert html.extract(frame.limit(0)).count() == 0 and html.extract(frame.union(frame)).count() == 2 * len(rows) + 4
     got = html.extract(frame).collect()
     assert len(got) == len(rows) + 2 and all(r.text == want.get(r.url, "") and r.n_chars == len(r.text) for r in got)
     assert html.main_text("<div>" * 3000 + "deep, text." + "</div>" * 10) == "deep, text." and html.main_text("<" * 2000 + "a" * 3000)
