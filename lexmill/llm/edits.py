@@ -5,7 +5,8 @@ holds the characters and tokens below it. An edit finds its leaf by descent over
 character sums, re-splits from a few characters before the change until a word ends
 where an old word ended, re-encodes only those words, and updates the sums on the way
 up. Where the split stands at a text position decides all that follows, so the rest of
-the tree stays as it is.
+the tree stays as it is. A special token in the text is a word of its own, as it is for the
+encoder; an edit that makes, breaks or joins one is met by re-splitting from as far before.
 
 A text, its tree and its edits live in one row of an Arrow batch; nothing is shuffled.
 """
@@ -25,7 +26,7 @@ from lexmill.session import small_batches
 from lexmill.sources.tables import table
 
 LEAF = 64
-#: A word is decided by at most so many characters from its start, and so many after its end.
+#: A word is decided by at most so many characters from its start, and so many after its end; both grow by the longest special token.
 AHEAD, AFTER = 3, 2
 EDIT = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("new", T.StringType())])
 
@@ -36,16 +37,24 @@ class CountTree:
     def __init__(self, text: str, coder: bpe.Automaton) -> None:
         self.text, self.coder = text, coder
         self.encoded_words = self.encoded_chars = 0
-        words = coder.split(text)
+        longest = max(map(len, coder.specials), default=0)
+        self.ahead, self.after = AHEAD + longest, AFTER + longest
+        words = self._split(text)
         self.words = len(words)
         self._build([self._measure(words[i : i + LEAF]) for i in range(0, len(words), LEAF)])
         self.encoded_words = self.encoded_chars = 0
 
+    def _split(self, text: str) -> list[str]:
+        return [w for part in self.coder.cut_specials(text) for w in ([part] if part in self.coder.specials else self.coder.split(part))]
+
+    def _count(self, word: str) -> int:
+        return 1 if word in self.coder.specials else len(self.coder.word(word)) // 4
+
     def _measure(self, words: list[str]) -> list[tuple[int, int]]:
         self.encoded_words += len(words)
         lengths = list(map(len, words))
         self.encoded_chars += sum(lengths)
-        return list(zip(lengths, (len(b) // 4 for b in map(self.coder.word, words)), strict=True))
+        return list(zip(lengths, map(self._count, words), strict=True))
 
     def _build(self, leaves: list[list[tuple[int, int]]]) -> None:
         self.size = 1 << max(0, (len(leaves) - 1).bit_length())
@@ -83,12 +92,12 @@ class CountTree:
         old_size = len(self.text)
         self.text = self.text[:start] + new + self.text[end:]
         if not old_size:
-            self._build([self._measure(self.coder.split(self.text))])
+            self._build([self._measure(self._split(self.text))])
             return
-        first, leaf_start = self._leaf_at(max(0, start - AHEAD - AFTER))
+        first, leaf_start = self._leaf_at(max(0, start - self.ahead - self.after))
         skip, at = 0, leaf_start
         for size, _ in self.leaves[first]:
-            if at + max(size + AFTER, AHEAD) > start:
+            if at + max(size + self.after, self.ahead) > start:
                 break
             at += size
             skip += 1
@@ -98,16 +107,21 @@ class CountTree:
         ends: dict[int, tuple[int, int]] = {}
         found: list[str] = []
         new_at, read = at0, first
-        reach, done = max(64, len(new) + 64), None
+        reach, done = len(new) + 64 + 2 * self.after, None
         while done is None:
             piece = self.text[new_at : new_at + reach]
             whole = new_at + reach >= len(self.text)
-            words = self.coder.split(piece)
-            if not whole and len(words) > 2:
-                words = words[:-2]  # the cut may have changed the last ones
-            elif not whole:
-                reach *= 2
-                continue
+            words = self._split(piece)
+            if not whole:  # the cut may have changed the last ones
+                sure, kept = len(piece) - self.after, 0
+                for kept, word in enumerate(words):
+                    sure -= len(word)
+                    if sure < 0:
+                        break
+                words = words[:kept]
+                if not words:
+                    reach *= 2
+                    continue
             for word in words:
                 new_at += len(word)
                 found.append(word)
@@ -155,7 +169,7 @@ def count_edited(docs: DataFrame, edits_col: str = "edits", tokenizer: str = TOK
     edits_col is an array of (start, length, new): each replaces length characters from
     start, in order, by new. Places beyond the text are cut to it; null numbers count
     as 0, a null new as empty, a null edit is skipped. A null text is an empty one, null
-    edits are none. Literal special tokens count as ordinary text. Other columns are not
+    edits are none. Special tokens in a text count as one token each. Other columns are not
     read and may have any name. No rows: no rows.
     """
 
