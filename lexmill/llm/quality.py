@@ -3,7 +3,8 @@
 zstandard at a fixed level is run over the whole text and over fixed chunks of its
 UTF-8 bytes. A ratio (compressed over raw bytes) under the band of its length says
 repetitive, one over it says incompressible. Limits depend on length, since short
-inputs compress worse. Rows are judged alone, in Arrow batches; nothing is shuffled.
+inputs compress worse; the lower ones are fitted by fit_bands() to texts labelled good.
+Rows are judged alone, in Arrow batches; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.session import small_batches
@@ -21,10 +23,12 @@ from lexmill.sources.tables import table
 
 LEVEL = 3
 CHUNK = 4096
-#: (bytes from, lowest ratio, highest ratio) of whole texts; shorter texts than the first have no band.
-TEXT_BANDS = ((256, 0.35, 0.80), (512, 0.35, 0.75), (1024, 0.28, 0.70), (4096, 0.22, 0.65), (16384, 0.18, 0.60), (131072, 0.15, 0.60))
+#: (bytes from, lowest ratio, highest ratio) of whole texts; shorter texts than the first have no band. The lowest are what fit_bands() gives on sf0.1.
+TEXT_BANDS = ((256, 0.546, 0.80), (512, 0.514, 0.75), (1024, 0.454, 0.70), (4096, 0.416, 0.65), (16384, 0.403, 0.60), (131072, 0.37, 0.60))
 #: The same of single chunks of CHUNK bytes; a last, shorter chunk is judged by the whole text's band for its length.
-CHUNK_BAND = (0.20, 0.68)
+CHUNK_BAND = (0.446, 0.68)
+#: Labelled rows that a fit reads at most, the share of texts labelled good that it lets fall out, and the fewest of a length that it fits.
+LABELLED, LOST, LEAST = 20_000, 0.002, 10
 #: A text fails if more than this share of its chunks is out of band.
 BAD_CHUNKS = 0.25
 #: Base rules: the fewest words, and the largest percentage of words in repeated windows of three.
@@ -134,6 +138,34 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return narrow.mapInArrow(_judge, SCHEMA)
 
 
+def fit_bands(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[tuple[tuple[int, float, float], ...], tuple[float, float]]:
+    """TEXT_BANDS and CHUNK_BAND with the lowest ratios anew: the LOST quantile of the texts labelled good that pass the base rules, by length.
+
+    labels has doc_id and quality (1: good). It reads the LABELLED good ones of
+    smallest id at most. A length with fewer than LEAST of them keeps its limit.
+    """
+    good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy("doc_id").limit(LABELLED)
+    narrow = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").join(good, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            rows = []
+            for text in batch.column(1):
+                raw = (text.as_py() or "").encode()
+                base = base_counts(text.as_py() or "", raw)
+                if base[0] < MIN_WORDS or 100 * base[4] > MAX_REPEAT * base[0]:
+                    continue
+                rows.append((max((b[0] for b in TEXT_BANDS if len(raw) >= b[0]), default=0), len(packer.compress(raw)) / len(raw)))
+                parts = [raw[i : i + CHUNK] for i in range(0, len(raw) - CHUNK + 1, CHUNK)] if len(raw) > CHUNK else []
+                rows += [(-1, len(packer.compress(p)) / CHUNK) for p in parts]
+            columns = list(zip(*rows, strict=True)) if rows else [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.float64())], ["band", "ratio"])
+
+    fitted = {r.band: r.low for r in narrow.mapInArrow(run, "band long, ratio double").groupBy("band").agg(F.expr(f"percentile(ratio, {LOST})").alias("low"), F.count(F.lit(1)).alias("n")).collect() if r.n >= LEAST}
+    return tuple((size, round(fitted.get(size, low), 3), high) for size, low, high in TEXT_BANDS), (round(fitted.get(-1, CHUNK_BAND[0]), 3), CHUNK_BAND[1])
+
+
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns, in one pass over the batches."""
     at = docs.columns.index(text_col)

@@ -61,6 +61,19 @@ def test_quality(spark):
     assert quality.judge(frame.limit(0)).count() == 0
 
 
+def test_bands_reject_labelled_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    judged = quality.judge(docs).filter("not base_failed").join(labels, "doc_id").collect()
+    out = [r.quality for r in judged if not r.kept]
+    assert len(out) >= 10 and out.count(0) >= 0.9 * len(out)
+    good = [r.kept for r in judged if r.quality]
+    assert sum(good) >= 0.98 * len(good)
+    # limits fitted on this small sample lie near those of the large one
+    text, chunk = quality.fit_bands(docs, labels)
+    assert [b[0] for b in text] == [b[0] for b in quality.TEXT_BANDS] and all(abs(a[1] - b[1]) < 0.05 for a, b in zip(text, quality.TEXT_BANDS, strict=True)) and abs(chunk[0] - quality.CHUNK_BAND[0]) < 0.05
+
+
 def test_encoded_documents_are_incompressible():
     import base64
 
@@ -94,14 +107,14 @@ def test_automaton_on_random_words():
 
 def test_edit_counts(spark):
     t, rng = Tokenizer.from_file(PATH), random.Random(3)
-    t.encode_special_tokens = True
     count = lambda x: len(t.encode(x, add_special_tokens=False).ids)
     coder = bpe.automaton(PATH)
     for _ in range(300):
-        text = "".join(rng.choice("ab cd'll  \n1.é🙂") for _ in range(rng.choice([0, 1, 30, 2000])))
+        marks = [*"ab cd'll  \n1.é🙂", "<|endoftext|>", "<|endo", "ftext|>"]
+        text = "".join(rng.choice(marks) for _ in range(rng.choice([0, 1, 30, 2000])))
         tree = edits.CountTree(text, coder)
         for _ in range(8):
-            start, size, new = rng.randint(0, len(text) + 2), rng.choice([0, 1, 5, 300]), "".join(rng.choice("ab '\n7") for _ in range(rng.choice([0, 1, 9, 700])))
+            start, size, new = rng.randint(0, len(text) + 2), rng.choice([0, 1, 5, 300]), "".join(rng.choice([*"ab '\n7", "<|", "|>", "<|endoftext|>"]) for _ in range(rng.choice([0, 1, 9, 700])))
             cut = min(start, len(text))
             text = text[:cut] + new + text[max(cut, min(len(text), start + size)) :]
             tree.edit(start, size, new)
@@ -110,6 +123,12 @@ def test_edit_counts(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:long,length:long,new:string>>")
     got = {r.doc_id: r for r in edits.count_edited(frame).collect()}
     assert got[1].n_after == count("one-two") and got[1].n_edits == 2 and got[2].n_after == count("new text") and got[None].n_before == 1
+    assert edits.count_edited(frame.limit(0)).count() == 0
+    long = [(1, "word and more, " * 200_000, [(2_000_000, 7, "<|endoftext|>"), (0, 1, "x")]), (5, "same", [(4, 0, "s")]), (5, "same", [(4, 0, "s")])]
+    held = spark.createDataFrame(long, "doc_id long, text string, edits array<struct<start:long,length:long,new:string>>").selectExpr("*", "'x' as n_after", "1 as after")
+    got = sorted((r.doc_id, r.n_after, r.chars_encoded < 1000) for r in edits.count_edited(held).collect())
+    edited = "x" + (long[0][1][:2_000_000] + "<|endoftext|>" + long[0][1][2_000_007:])[1:]
+    assert got == [(1, count(edited), True), (5, count("sames"), True), (5, count("sames"), True)]
 
 
 PAGES = {
