@@ -14,9 +14,7 @@ and what its second part's state had lost when the state was copied from it, kep
 reference to that state and the time of the copy. What stays is a deterministic automaton that accepts
 exactly one token sequence for every byte string: its BPE encoding.
 
-A pre-split word is encoded by walking the automaton from the start: from a state,
-take the longest arc that matches the coming bytes and is open, and step back where
-none is. Many words are encoded at once by tables: labels stand in a tree of byte
+Pre-split words are encoded by tables, many at once: labels stand in a tree of byte
 transitions, which finds the arcs that match at all bytes of all words; then, byte by byte
 from the start of the words, the only open arc into each place fixes the state there, and
 the last states lead back through the words. Words already read are kept in a table of
@@ -42,9 +40,11 @@ LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 LATIN_PATTERN = rf" ?[{LATIN}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+"
 NOT_LATIN = rf"[^{LATIN}\n -~\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2013-\u2026]"
 #: Words that a process remembers in each of two tables, about 150 bytes each, and arcs whose state it remembers.
-WORDS, ARCS = 400_000, 400_000
+WORDS, ARCS = 250_000, 400_000
 #: Characters of texts that are split at once, and words encoded at once.
-CHARS, AT_ONCE = 2_000_000, 32_768
+CHARS, AT_ONCE = 1_000_000, 16_384
+#: Longer words are encoded alone, so many bytes at once.
+LONG, BYTES = 64, 65_536
 #: Slots of the table of arcs known to be open or closed, as a power of two.
 SLOTS = 20
 NEVER = 1 << 30
@@ -69,7 +69,7 @@ class Remembered(dict):
         found = self.older.get(word)
         if found is None:
             found = self.find(word)
-        if len(word) < 64:
+        if len(word) < LONG:
             if len(self) >= self.size:
                 self.older = dict(self)
                 self.clear()
@@ -91,8 +91,6 @@ class Automaton:
         self.labels |= {i: text.encode() for text, i in self.specials.items()}
         self.ids = {raw[name]: i for name, i in vocab.items()}
         self.longest = max(map(len, self.ids))
-        self.tree = self._tree()
-        self.depth = [0]
         self.first: dict[int, int] = {}
         self.absorbed: dict[int, int] = {}
         self.second: dict[int, int] = {}
@@ -103,7 +101,7 @@ class Automaton:
         self.open: dict[int, bool] = {}
         self.left: dict[int, tuple[tuple[int, int], ...]] = {}
         self.right: dict[int, tuple[tuple[int, int], ...]] = {}
-        self.words = Remembered(lambda word: array("I", self.walk(word.encode())).tobytes(), WORDS)
+        self.words = Remembered(lambda word: self.encode_long(word) if len(word) >= LONG else self.encode_words([word])[0], WORDS)
         #: Ids of a pre-split word as little-endian unsigned 32-bit integers, through the table of known words.
         self.word = self.words.__getitem__
         self._compile()
@@ -111,16 +109,6 @@ class Automaton:
         self.find_latin, self.not_latin = re.compile(LATIN_PATTERN).findall, re.compile(NOT_LATIN).search
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
 
-    def _tree(self) -> dict[int, tuple[dict, tuple]]:
-        """From a byte to the table of the next byte and all labels on the way here as (size, token), the longest first."""
-        tree: dict = {}
-        for label in sorted(self.ids):  # a label's prefixes come before it
-            table, arcs = tree, ()
-            for byte in label[:-1]:
-                table, arcs = table.setdefault(byte, ({}, arcs))
-            table[label[-1]] = ({}, ((len(label), self.ids[label]), *arcs))
-        return tree
-
     def _gadget(self, k: int, a: int, b: int, c: int) -> None:
         self.gadgets[a << 20 | b] = k
         self.first[c], self.second[c], self.absorbed[c] = a, b, k
@@ -152,63 +140,59 @@ class Automaton:
         self.open[state << 20 | token] = known
         return known
 
-    def walk(self, word: bytes) -> list[int]:
-        """The only accepted token sequence of the bytes of one pre-split word."""
-        tree, known, longest, n = self.tree, self.open, self.longest, len(word)
-        out: list[int] = []
-        #: Where each token of out starts, the shorter arcs that remain there, and the state it left.
-        steps: list[tuple[int, Iterator[tuple[int, int]], int | None]] = []
-        dead: set[tuple[int, int]] = set()
-        at, state = 0, None
-        while at < n:
-            table = tree
-            for byte in word[at : at + longest]:
-                found = table.get(byte)
-                if found is None:
-                    break
-                table, arcs = found
-            left = iter(arcs)
-            while True:
-                for size, token in left:
-                    if state is None:
-                        is_open = True
-                    else:
-                        is_open = known.get(state | token)
-                        if is_open is None:
-                            is_open = self.is_open(state >> 20, token)
-                    if is_open and not (dead and (at, token) in dead):
-                        break
-                else:
-                    at, left, state = steps.pop()
-                    dead.add((at, out.pop()))
-                    continue
-                break
-            steps.append((at, left, state))
-            out.append(token)
-            at += size
-            state = token << 20
-        return out
-
     def _compile(self) -> None:
-        """Byte tables of the label tree: from a node and a byte to the next node and to the label that ends there; -1 for none."""
-        inner, rows = [self.tree], []
-        for table in inner:  # grows while it is read
-            row = []
-            for byte, (below, arcs) in table.items():
-                row.append((byte, len(inner) if below else -1, arcs[0][1] if arcs and arcs[0][0] == self.depth[len(rows)] + 1 else -1))
-                if below:
-                    inner.append(below)
-                    self.depth.append(self.depth[len(rows)] + 1)
-            rows.append(row)
-        self.go, self.ends = (np.full((len(rows), 256), -1, np.int32) for _ in range(2))
-        for node, row in enumerate(rows):
-            for byte, below, token in row:
-                self.go[node, byte], self.ends[node, byte] = below, token
+        """The label tree as a hash table of (node, byte), with the next node and the label that ends there; -1 for none."""
+        nodes = {b"": 0}
+        for label in self.ids:
+            for i in range(1, len(label)):
+                nodes.setdefault(label[:i], len(nodes))
+        edges = {nodes[p[:-1]] << 8 | p[-1]: [node, -1] for p, node in nodes.items() if p}
+        for label, token in self.ids.items():
+            edges.setdefault(nodes[label[:-1]] << 8 | label[-1], [-1, -1])[1] = token
+        self.edge_bits = (4 * len(edges)).bit_length()
+        self.edge_keys, self.edge_go, self.edge_ends = (np.full(1 << self.edge_bits, -1, np.int32) for _ in range(3))
+        keys = np.fromiter(edges, np.int64, len(edges))
+        free = bytearray(b"\1") * (1 << self.edge_bits)
+        for slot, key in zip(self._edge_slots(keys).tolist(), edges, strict=True):
+            while not free[slot]:
+                slot = slot + 1 & len(free) - 1
+            free[slot] = 0
+            self.edge_keys[slot] = key
+            self.edge_go[slot], self.edge_ends[slot] = edges[key]
         self.sizes = np.zeros(max(self.labels) + 1, np.int64)
         for token, label in self.labels.items():
             self.sizes[token] = len(label)
         self.slot_keys, self.slot_open = np.full(1 << SLOTS, -1, np.int64), np.zeros(1 << SLOTS, bool)
 
+    def _edge_slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(64 - self.edge_bits)).astype(np.int64)
+
+    def _steps(self, node: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next nodes and the labels that end there."""
+        keys = node.astype(np.int64) << 8 | byte
+        slots = self._edge_slots(keys)
+        held = self.edge_keys[slots]
+        other = np.flatnonzero((held != keys) & (held >= 0))
+        while len(other):
+            slots[other] = slots[other] + 1 & (1 << self.edge_bits) - 1
+            held[other] = self.edge_keys[slots[other]]
+            other = other[(held[other] != keys[other]) & (held[other] >= 0)]
+        known = held == keys
+        return np.where(known, self.edge_go[slots], -1), np.where(known, self.edge_ends[slots], -1)
+
+    def _arcs(self, text: np.ndarray, at: np.ndarray, end_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All labels that stand in a text from the places ``at`` on, each up to its end_of: first byte, last byte, label."""
+        node, found, step = np.zeros(len(at), np.int32), [], 0
+        while len(at):
+            node, token = self._steps(node, text[at + step])
+            hit = np.flatnonzero(token >= 0)
+            found.append((at[hit], at[hit] + step, token[hit]))
+            step += 1
+            on = np.flatnonzero((node >= 0) & (at + step < end_of))
+            at, node, end_of = at[on], node[on], end_of[on]
+        first, last, token = (np.concatenate(x) for x in zip(*found, strict=True))
+        return first, last, token
+
     def _open(self, keys: np.ndarray) -> np.ndarray:
         """is_open of many arcs, given as state << 20 | token."""
         slots = ((keys * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(64 - SLOTS)).astype(np.int64)
@@ -232,17 +216,7 @@ class Automaton:
         start = np.cumsum(size) - size
         end_of = np.repeat(start + size, size)
         offset = np.arange(len(text)) - np.repeat(start, size)
-        # all arcs by their first byte
-        at, node, found, step = np.arange(len(text)), np.zeros(len(text), np.int32), [], 0
-        while len(at):
-            byte = text[at + step]
-            token = self.ends[node, byte]
-            hit = np.flatnonzero(token >= 0)
-            found.append((at[hit], at[hit] + step, token[hit]))
-            node, step = self.go[node, byte], step + 1
-            on = np.flatnonzero((node >= 0) & (at + step < end_of[at]))
-            at, node = at[on], node[on]
-        first, last, token = (np.concatenate(x) for x in zip(*found, strict=True))
+        first, last, token = self._arcs(text, np.arange(len(text)), end_of)
         order = np.argsort(offset[first], kind="stable")
         first, last, token = first[order], last[order], token[order]
         upto = np.searchsorted(offset[first], np.arange(int(size.max()) + 1))
@@ -269,10 +243,35 @@ class Automaton:
         upto = (4 * np.cumsum(np.bincount(owner, minlength=len(raw)))).tolist()
         return [ids[a:b] for a, b in zip([0, *upto], upto, strict=False)]
 
+    def encode_long(self, word: str) -> bytes:
+        """Packed ids of one pre-split word of any length."""
+        text = np.frombuffer(word.encode(), np.uint8)
+        n, known = len(text), self.open
+        state = [-1] * n
+        for base in range(0, n, BYTES):
+            at = np.arange(base, min(n, base + BYTES))
+            arcs = self._arcs(text, at, np.full(len(at), n))
+            order = np.argsort(arcs[0], kind="stable")
+            for first, last, token in zip(*(x[order].tolist() for x in arcs), strict=True):
+                if state[last] < 0:
+                    if first:
+                        is_open = known.get(state[first - 1] << 20 | token)
+                        if is_open is None:
+                            is_open = self.is_open(state[first - 1], token)
+                        if not is_open:
+                            continue
+                    state[last] = token
+        out, at = array("I"), n - 1
+        while at >= 0:
+            out.append(state[at])
+            at -= len(self.labels[state[at]])
+        out.reverse()
+        return out.tobytes()
+
     def _learn(self, words: set[str]) -> None:
         """Puts words into the table of known words, all that are new at once."""
         known, older = self.words, self.words.older
-        new = [w for w in words if w not in known and w not in older and len(w) < 64]
+        new = [w for w in words if w not in known and w not in older and len(w) < LONG]
         for i in range(0, len(new), AT_ONCE):
             part = new[i : i + AT_ONCE]
             if len(known) + len(part) > known.size:
