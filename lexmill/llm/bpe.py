@@ -40,9 +40,9 @@ LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 LATIN_PATTERN = rf" ?[{LATIN}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+"
 NOT_LATIN = rf"[^{LATIN}\n -~\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2013-\u2026]"
 #: Words that a process remembers in each of two tables, about 150 bytes each, and arcs whose state it remembers.
-WORDS, ARCS = 250_000, 400_000
+WORDS, ARCS = 400_000, 400_000
 #: Characters of texts that are split at once, and words encoded at once.
-CHARS, AT_ONCE = 1_000_000, 16_384
+CHARS, AT_ONCE = 2_000_000, 32_768
 #: Longer words are encoded alone, so many bytes at once.
 LONG, BYTES = 64, 65_536
 #: Slots of the table of arcs known to be open or closed, as a power of two.
@@ -271,7 +271,7 @@ class Automaton:
     def _learn(self, words: set[str]) -> None:
         """Puts words into the table of known words, all that are new at once."""
         known, older = self.words, self.words.older
-        new = [w for w in words if w not in known and w not in older and len(w) < LONG]
+        new = [w for w in words.difference(known).difference(older) if len(w) < LONG]
         for i in range(0, len(new), AT_ONCE):
             part = new[i : i + AT_ONCE]
             if len(known) + len(part) > known.size:
