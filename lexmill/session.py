@@ -45,6 +45,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lexmill-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/lexmill-{spark.sparkContext.applicationId}"
