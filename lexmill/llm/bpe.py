@@ -101,9 +101,10 @@ class Automaton:
         self.open: dict[int, bool] = {}
         self.left: dict[int, tuple[tuple[int, int], ...]] = {}
         self.right: dict[int, tuple[tuple[int, int], ...]] = {}
-        self.words = Remembered(lambda word: self.encode_long(word) if len(word) >= LONG else self.encode_words([word])[0], WORDS)
+        self.words = Remembered(lambda word: self.encode_long(word) if len(word) >= LONG else self.encode_one(word), WORDS)
         #: Ids of a pre-split word as little-endian unsigned 32-bit integers, through the table of known words.
         self.word = self.words.__getitem__
+        self.edges: dict[int, tuple[int, int]] = {}
         self._compile()
         self.find_any = regex.compile(PATTERN).findall
         self.find_latin, self.not_latin = re.compile(LATIN_PATTERN).findall, re.compile(NOT_LATIN).search
@@ -243,6 +244,38 @@ class Automaton:
         upto = (4 * np.cumsum(np.bincount(owner, minlength=len(raw)))).tolist()
         return [ids[a:b] for a, b in zip([0, *upto], upto, strict=False)]
 
+    def encode_one(self, word: str) -> bytes:
+        """encode_words() of one short word, without arrays."""
+        if not self.edges:
+            held = np.flatnonzero(self.edge_keys >= 0)
+            self.edges = dict(zip(self.edge_keys[held].tolist(), zip(self.edge_go[held].tolist(), self.edge_ends[held].tolist(), strict=True), strict=True))
+        text, edges, known = word.encode(), self.edges, self.open
+        n = len(text)
+        state = [-1] * n
+        for at in range(n):
+            before, node = state[at - 1] << 20 if at else -1, 0
+            for last in range(at, n):
+                found = edges.get(node << 8 | text[last])
+                if found is None:
+                    break
+                node, token = found
+                if token >= 0 and state[last] < 0:
+                    is_open = True if before < 0 else known.get(before | token)
+                    if is_open or is_open is None and self.is_open(before >> 20, token):
+                        state[last] = token
+                if node < 0:
+                    break
+        return self._back(state)
+
+    def _back(self, state: list[int]) -> bytes:
+        """Packed ids from the labels that end at each byte."""
+        out, at = array("I"), len(state) - 1
+        while at >= 0:
+            out.append(state[at])
+            at -= len(self.labels[state[at]])
+        out.reverse()
+        return out.tobytes()
+
     def encode_long(self, word: str) -> bytes:
         """Packed ids of one pre-split word of any length."""
         text = np.frombuffer(word.encode(), np.uint8)
@@ -261,12 +294,7 @@ class Automaton:
                         if not is_open:
                             continue
                     state[last] = token
-        out, at = array("I"), n - 1
-        while at >= 0:
-            out.append(state[at])
-            at -= len(self.labels[state[at]])
-        out.reverse()
-        return out.tobytes()
+        return self._back(state)
 
     def _learn(self, words: set[str]) -> None:
         """Puts words into the table of known words, all that are new at once."""
