@@ -155,6 +155,52 @@ def test_images(spark):
     assert images.copies(spark.createDataFrame([], "image_id long, pixels binary, width int, height int")).count() == 0
 
 
+def variants(image):
+    """Crops to a half and a quarter of the area, turns, other sizes."""
+    np, n = images.np, image.shape[0]
+    h = int(n * 0.707)
+    small = image.reshape(n // 2, 2, n // 2, 2).mean((1, 3)).astype("u1")
+    return [image, image[n - h :, n - h :], image[n // 5 : n // 5 + n // 2, n // 7 : n // 7 + n // 2], np.rot90(image), np.rot90(image, 2), small, image.repeat(2, 0).repeat(2, 1)]
+
+
+def test_crops_turns_and_sizes(spark):
+    rows = []
+    for k in range(6):
+        pixels, w, h = images.drawn(bytes([k, 1]), 0, 256)
+        for e, v in enumerate(variants(images.np.frombuffer(pixels, "u1").reshape(h, w))):
+            rows.append((10 * k + e, v.tobytes(), v.shape[1], v.shape[0]))
+    got = images.copies(spark.createDataFrame(rows, "image_id long, pixels binary, width int, height int").repartition(8)).collect()
+    assert {r.image_id: r.component_id for r in got} == {i: i // 10 * 10 for i, *_ in rows}
+
+
+def test_images_against_all_pairs(spark):
+    rows = [(k, *images.drawn(bytes([k // 4, 2]), k % 4)) for k in range(200)]
+    points = [images.keypoints(*r[1:]) for r in rows]
+    root = list(range(200))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(200):
+        for b in range(a):
+            if images.agree(points[b], points[a]) >= images.INLIERS:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    got = images.copies(spark.createDataFrame(rows, "image_id long, pixels binary, width int, height int").repartition(8)).collect()
+    assert {r.image_id: r.component_id for r in got} == {k: find(k) for k in range(200)}
+
+
+def test_bands_and_blocks(monkeypatch):
+    picture = images.drawn(b"bands", 0, 192)
+    whole = images.keypoints(*picture)
+    half = images.keypoints(images.np.frombuffer(picture[0], "u1").reshape(192, 192)[:, 96:].tobytes(), 96, 192)
+    links = images.agree(whole, half)
+    monkeypatch.setattr(images, "BAND", 500)
+    monkeypatch.setattr(images, "PAIRS", 300)
+    assert (images.keypoints(*picture) == whole).all() and images.agree(whole, half) == links >= images.INLIERS
+
+
 def test_large_groups_of_images(spark):
     rows = []
     for k in range(4096):
