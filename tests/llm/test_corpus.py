@@ -212,6 +212,37 @@ def test_large_groups_of_images(spark):
     assert len(got) == 4096 and parts == 1, parts
 
 
+def test_crowded_buckets_of_images(spark, monkeypatch):
+    """Forty pairs of copies whose parts all stand in the same buckets of eighty images."""
+    np, rng = images.np, images.np.random.Generator(images.np.random.PCG64(3))
+
+    def corners(bits):
+        points = np.zeros(len(bits), images.POINT)
+        points["x"], points["y"], points["size"], points["bits"] = rng.integers(0, 9000, len(bits)), rng.integers(0, 9000, len(bits)), 1, bits
+        return points
+
+    bits = rng.integers(0, 256, (6, images.BITS // 8), dtype=np.uint8)
+    points = [corners(bits) for _ in range(40) for _ in range(2)]
+    for k in range(0, 80, 2):
+        points[k + 1]["x"], points[k + 1]["y"] = points[k]["x"] + 5, points[k]["y"]
+    by = {bytes([k]): x for k, x in enumerate(points)}
+    monkeypatch.setattr(images, "_described", lambda held: spark.createDataFrame([(r.node, by[bytes(r.pixels)].tobytes(), 6, True) for r in held.collect()], "node long, points binary, n long, same boolean"))
+    got = images.copies(spark.createDataFrame([(k, bytes([k]), 1, 1) for k in range(len(points))], "image_id long, pixels binary, width int, height int")).collect()
+    assert {r.image_id: r.component_id for r in got} == {k: k // 2 * 2 for k in range(80)}
+
+
+def test_pairs_of_images_at_once():
+    np, rng = images.np, images.np.random.Generator(images.np.random.PCG64(8))
+    held = [images.keypoints(*images.drawn(bytes([k // 4, 5]), k % 4, 96 if k < 40 else 160)) for k in range(60)]
+    held = [x[: rng.integers(6, len(x) + 1)] for x in held]
+    i, j = np.nonzero(np.ones((60, 60), bool))
+    want = [images.agree(held[a], held[b]) >= images.INLIERS for a, b in zip(i, j, strict=True)]
+    assert images.agreeing(held, images._padded(held), i, j).tolist() == want and sum(want) > 60
+    keys = [set(images._keys([x])[0].tolist()) for x in held]
+    found = [pair for p in images.candidates(held[:25], held[25:]) for pair in zip(*(z.tolist() for z in p), strict=True)]
+    assert sorted(found) == [(a, b) for a in range(25) for b in range(35) if len(keys[a] & keys[25 + b]) >= images.VOTES]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from lexmill.llm import pii
