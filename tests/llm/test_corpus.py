@@ -135,6 +135,20 @@ def test_groups(spark):
     assert dedup.groups(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_rows_of_buckets_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(1, 10, 10), (1, 11, 10), (2, 11, 10), (2, 12, 12), (3, 13, 13)], "key long, node long, comp long")
+    got = dedup._mixed(rows.mapInArrow(count, rows.schema)).collect()
+    assert sorted(tuple(r) for r in got) == [(2, 11, 10), (2, 12, 12)]
+    assert made.value == rows.count()
+
+
 def test_sketches_merge():
     a, b = dedup.shingle_set(" ".join(map(str, range(300)))), dedup.shingle_set(" ".join(map(str, range(200, 600))))
     import numpy as np
