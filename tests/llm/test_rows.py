@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 import struct
+import subprocess
+import sys
 from collections import Counter
 
 import pytest
@@ -97,6 +99,22 @@ def test_tokenizer(spark):
     assert tokenizer.round_trip(frame.limit(0)).count() == 0
 
 
+def test_memory_of_many_words():
+    code = """
+import random, resource
+from lexmill.llm import bpe, tokenizer
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+coder, rng = bpe.automaton(tokenizer.tokenizer_path(tokenizer.TOKENIZER)), random.Random(1)
+before = peak()
+for _ in range(4):
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(250)) for _ in range(1000)]
+    list(coder.encode_all(texts))
+print((peak() - before) // 1024)
+"""
+    grown = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120)
+    assert int(grown.stdout) < 180  # MB, for a million different words; the automaton itself is not counted
+
+
 def test_automaton_on_random_words():
     t, a, rng = Tokenizer.from_file(PATH), bpe.automaton(PATH), random.Random(2)
     for _ in range(3000):
