@@ -257,6 +257,23 @@ def test_pairs_of_images_at_once():
     assert sorted(found) == [(a, b) for a in range(25) for b in range(35) if len(keys[a] & keys[25 + b]) >= images.VOTES]
 
 
+def test_one_image_with_many_at_once(monkeypatch):
+    """The same links whether pairs of one image are compared together, with the other pairs, or in small parts."""
+    np = images.np
+    held = [images.keypoints(*images.drawn(bytes([k // 4, 6]), k % 4, 96 if k < 60 else 128)) for k in range(80)]
+    held = [x[: 24 - k % 3] for k, x in enumerate(held)]
+    i, j = (x.ravel() for x in np.indices((80, 80)))
+    want = [images.agree(held[a], held[b]) >= images.INLIERS for a, b in zip(i, j, strict=True)]
+    assert 80 < sum(want) < 6400
+    for run, tested in ((1, images.TESTED), (1 << 20, images.TESTED), (30, 5000)):
+        monkeypatch.setattr(images, "RUN", run)
+        monkeypatch.setattr(images, "TESTED", tested)
+        mixed = np.random.Generator(np.random.PCG64(1)).permutation(len(i))
+        got = np.empty(len(i), bool)
+        got[mixed] = images.agreeing(held, images._padded(held), i[mixed], j[mixed])
+        assert got.tolist() == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from lexmill.llm import pii
