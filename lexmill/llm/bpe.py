@@ -307,8 +307,8 @@ class Automaton:
                 known.clear()
             known.update(zip(part, self.encode_words(part), strict=True))
 
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """encode() of every text, some CHARS characters at once."""
+    def pieces(self, texts: list[str]) -> Iterator[list[str | list[str]]]:
+        """The parts of every text, special tokens and lists of pre-split words; the new words of some CHARS characters are encoded at once."""
         i = 0
         while i < len(texts):
             parts, chars = [], 0
@@ -317,8 +317,12 @@ class Automaton:
                 parts.append([x if x in self.specials else self.split(x) for x in self.cut_specials(texts[i])])
                 i += 1
             self._learn(set().union(*(x for pieces in parts for x in pieces if isinstance(x, list))))
-            for pieces in parts:
-                yield b"".join(self.specials[x].to_bytes(4, "little") if isinstance(x, str) else b"".join(map(self.word, x)) for x in pieces)
+            yield from parts
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """encode() of every text, some CHARS characters at once."""
+        for pieces in self.pieces(texts):
+            yield b"".join(self.specials[x].to_bytes(4, "little") if isinstance(x, str) else b"".join(map(self.word, x)) for x in pieces)
 
     def cut_specials(self, text: str) -> list[str]:
         """The text cut at special tokens, which are pieces of their own."""

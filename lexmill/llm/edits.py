@@ -32,14 +32,15 @@ EDIT = T.StructType([T.StructField("start", T.LongType()), T.StructField("length
 
 
 class CountTree:
-    """Token counts of one text under edits."""
+    """Token counts of one text under edits. words: the text's pre-split words, where they are known."""
 
-    def __init__(self, text: str, coder: bpe.Automaton) -> None:
+    def __init__(self, text: str, coder: bpe.Automaton, words: list[str] | None = None) -> None:
         self.text, self.coder = text, coder
         self.encoded_words = self.encoded_chars = 0
         longest = max(map(len, coder.specials), default=0)
         self.ahead, self.after = AHEAD + longest, AFTER + longest
-        words = self._split(text)
+        if words is None:
+            words = self._split(text)
         self.words = len(words)
         self._build([self._measure(words[i : i + LEAF]) for i in range(0, len(words), LEAF)])
         self.encoded_words = self.encoded_chars = 0
@@ -47,14 +48,12 @@ class CountTree:
     def _split(self, text: str) -> list[str]:
         return [w for part in self.coder.cut_specials(text) for w in ([part] if part in self.coder.specials else self.coder.split(part))]
 
-    def _count(self, word: str) -> int:
-        return 1 if word in self.coder.specials else len(self.coder.word(word)) // 4
-
     def _measure(self, words: list[str]) -> list[tuple[int, int]]:
         self.encoded_words += len(words)
         lengths = list(map(len, words))
         self.encoded_chars += sum(lengths)
-        return list(zip(lengths, map(self._count, words), strict=True))
+        specials, known = self.coder.specials, self.coder.word
+        return [(n, 1 if w in specials else len(known(w)) // 4) for n, w in zip(lengths, words, strict=True)]
 
     def _build(self, leaves: list[list[tuple[int, int]]]) -> None:
         self.size = 1 << max(0, (len(leaves) - 1).bit_length())
@@ -160,6 +159,12 @@ class CountTree:
                 self._sum(i)
 
 
+def trees(texts: list[str], coder: bpe.Automaton) -> Iterator[CountTree]:
+    """The tree of every text; new words are encoded many at once."""
+    for text, pieces in zip(texts, coder.pieces(texts), strict=True):
+        yield CountTree(text, coder, [w for x in pieces for w in ([x] if isinstance(x, str) else x)])
+
+
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(x, T.LongType()) for x in ("n_before", "n_after", "n_words", "n_edits", "words_encoded", "chars_encoded")] + [T.StructField("after", T.ArrayType(T.LongType()))])
 
 
@@ -177,8 +182,8 @@ def count_edited(docs: DataFrame, edits_col: str = "edits", tokenizer: str = TOK
         coder = bpe.automaton(tokenizer_path(tokenizer))
         for batch in batches:
             rows = []
-            for text, edits in zip(batch.column(1), batch.column(2), strict=True):
-                tree = CountTree(text.as_py() or "", coder)
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for tree, edits in zip(trees(texts, coder), batch.column(2), strict=True):
                 before, words, after = tree.total, tree.words, []
                 for e in edits.as_py() or []:
                     if e is not None:

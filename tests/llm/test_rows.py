@@ -149,6 +149,19 @@ def test_edit_counts(spark):
     assert got == [(1, count(edited), True), (5, count("sames"), True), (5, count("sames"), True)]
 
 
+def test_trees_encode_new_words_at_once(monkeypatch):
+    t, coder = Tokenizer.from_file(PATH), bpe.automaton(PATH)
+    texts = ["", *(x or "" for x in ODD), *(f"fresh{k} wörd{k}'ll <|endoftext|> {k}" for k in range(500))]
+    coder.words.clear()
+    coder.words.older = {}
+    with monkeypatch.context() as m:
+        m.setattr(coder, "encode_one", None)  # no word is encoded alone
+        built = list(edits.trees(texts, coder))
+    assert [x.text for x in built] == texts
+    assert [x.total for x in built] == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert [x.words for x in built] == [edits.CountTree(x, coder).words for x in texts]
+
+
 PAGES = {
     "plain": ("<html><body><nav><a>Home, page</a></nav><article><h1>T</h1><p>One, two.<p>Three &amp; four<br>five</article><footer>Foot, note.</footer>", "T\nOne, two.\nThree & four five"),
     "divs": ('<div id="top-nav">Menu one, two.</div><div class="w"><div class="content"><h2>Head</h2><p>A long, long sentence; with text.</p><ul><li>x<li>y</ul><div class="ad-box">Buy, now!</div></div><div class="sidebar">Side, bar. Really.</div></div><div id="comments"><p>Nice, post! So good, yes.</p></div>', "Head\nA long, long sentence; with text.\nx\ny"),
