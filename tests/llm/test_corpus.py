@@ -257,6 +257,25 @@ def test_pairs_of_images_at_once():
     assert sorted(found) == [(a, b) for a in range(25) for b in range(35) if len(keys[a] & keys[25 + b]) >= images.VOTES]
 
 
+def test_ties_and_all_candidates_of_an_image_at_once(monkeypatch):
+    """Equal corners, which are nearest to several, link as in agree(); two thousand candidates of one image are compared in one part."""
+    np, rng = images.np, images.np.random.Generator(images.np.random.PCG64(12))
+    held = []
+    for k in range(60):
+        one = images.keypoints(*images.drawn(bytes([k // 3, 7]), k % 3)).copy()
+        to = rng.integers(0, len(one), (2, 6))
+        one["bits"][to[0]] = one["bits"][to[1]]
+        held.append(one)
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60), indexing="ij"))
+    want = [images.agree(held[a], held[b]) >= images.INLIERS for a, b in zip(i, j, strict=True)]
+    assert images.agreeing(held, images._padded(held), i, j).tolist() == want and 60 < sum(want) < 600
+    parts, mutual = [], images._mutual
+    monkeypatch.setattr(images, "_mutual", lambda one, two: parts.append(two.shape[2]) or mutual(one, two))
+    same = [x for x in held if len(x) > 16][:40] * 50
+    images.agreeing(same, images._padded(same), np.zeros(2000, np.int64), np.arange(2000))
+    assert parts == [2000]
+
+
 def test_one_image_with_many_at_once(monkeypatch):
     """The same links whether pairs of one image are compared together, with the other pairs, or in small parts."""
     np = images.np
