@@ -293,6 +293,54 @@ def test_one_image_with_many_at_once(monkeypatch):
         assert got.tolist() == want
 
 
+def told_by(held):
+    return images.information(*images.np.unique(images._keys(held)[0], return_counts=True), len(held), images.np.concatenate(held))
+
+
+def found_by(*sides):
+    return {pair for p in images.candidates(*sides) for pair in zip(*(z.tolist() for z in p), strict=True)}
+
+
+def test_candidates_that_tell_enough():
+    """Of the pairs with three parts in common few need to be compared, and those that agree are among them."""
+    held = [images.keypoints(*images.drawn(bytes([k // 4, 9]), k % 4)) for k in range(320)]
+    told = told_by(held + [images.keypoints(*images.drawn(bytes([k % 250, k // 250, 1]), 0)) for k in range(1000)])
+    left, right = held[::2], held[1::2]
+    plain, fewer = found_by(left, right), found_by(left, right, told)
+    both = sorted(plain | fewer)
+    i, j = images.np.array(both).T
+    linked = {pair for pair, ok in zip(both, images.agreeing(held, images._padded(held), 2 * i, 2 * j + 1), strict=True) if ok}
+    assert len(linked) > 300 and linked <= fewer and 5 * len(fewer) < len(plain)
+    assert {(a // 2, b // 2) for a, b in found_by(held, held, told) if a % 2 == 0 and b % 2} == fewer
+
+
+def test_common_parts_at_the_same_places():
+    """Parts that all images have tell nothing, but two corners that stand to each other in the same way do."""
+    np, rng = images.np, images.np.random.Generator(images.np.random.PCG64(4))
+    bits = rng.integers(0, 256, (6, images.BITS // 8), dtype=np.uint8)
+    left, right = [], []
+    for _ in range(40):
+        one = np.zeros(6, images.POINT)
+        one["x"], one["y"], one["size"], one["bits"] = rng.integers(0, 9000, 6), rng.integers(0, 9000, 6), 1, bits
+        two = one[::-1].copy()
+        two["x"], two["y"], two["size"], two["angle"] = 2 * (90 - one["y"][::-1]), 2 * (one["x"][::-1] + 5), 2, np.pi / 2
+        left.append(one)
+        right.append(two)
+    told = told_by(left + right)
+    assert not told[1].any() and found_by(left, right, told) == {(k, k) for k in range(40)}
+
+
+def test_copies_by_what_parts_tell(spark, monkeypatch):
+    rows = [(k, *images.drawn(bytes([k // 4, 2]), k % 4)) for k in range(120)]
+    table = spark.createDataFrame(rows, "image_id long, pixels binary, width int, height int").repartition(8)
+    plain = {r.image_id: r.component_id for r in images.copies(table).collect()}
+    asked, told = [], images._told
+    monkeypatch.setattr(images, "PLAIN", 100)
+    monkeypatch.setattr(images, "_told", lambda nodes: asked.append(told(nodes)) or asked[-1])
+    assert {r.image_id: r.component_id for r in images.copies(table).collect()} == plain
+    assert len(asked[0][0]) and abs(asked[0][2] / images.EACH - images.np.log(120 / images.RARE)) < 0.01
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from lexmill.llm import pii
