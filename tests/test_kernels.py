@@ -77,3 +77,14 @@ def test_spelling_by_join_is_brute_force(spark):
     bi = spark.createDataFrame([("to", "see", 50), ("see", "the", 50)], "w1 string, w2 string, c long")
     phrase = spark.createDataFrame([("to", "sea", "the"), (None, "see", None)], "prev string, q string, next string")
     assert {(r.q, r.fixed) for r in C.correct_realwords(phrase, vocab, bi).collect()} == {("sea", "see"), ("see", "see")}
+
+
+def test_models_by_chunk_are_whole_models(spark, monkeypatch):
+    """The tagger gathers no word table: it works where more words than MODEL_ROWS are trained on, and tags as the whole model does."""
+    rows = [(s, i, w, t) for s in range(6) for i, (w, t) in enumerate([("the", "D"), ("dogs", "N"), ("run", "V"), (f"x{s}", "N")])] + [(9, 0, "run", "N")]
+    tagged = spark.createDataFrame(rows, "sent_id long, idx int, w string, tag string")
+    whole = H.tagger(tagged)
+    texts = [["the", "hogs", "run"], [], None, ["x1", "zz9", "the"], ["run"] * 40]
+    monkeypatch.setattr(H, "MODEL_ROWS", 2)
+    out = H.tag_sentences(spark.createDataFrame(list(enumerate(texts)), "sent_id long, ws array<string>"), "ws", tagged)
+    assert {r.sent_id: r.pred for r in out.collect()} == {i: whole.tag(t or []) for i, t in enumerate(texts)}
