@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 SHIFT, LEFT, RIGHT = "SHIFT", "LEFT-ARC", "RIGHT-ARC"
 ROOT_TAG, NO_TAG = "<ROOT>", "<NULL>"
@@ -93,34 +95,73 @@ def decode_label(code: Column) -> tuple[Column, Column]:
     return F.get(parts, 0), F.get(parts, 1)
 
 
-def oracle_steps(sentences: DataFrame) -> DataFrame:
-    """(sent_id, step, s0, s1, b0, b1, move, label) of (sent_id, heads, labels, tags); one row with a null move for a tree that cannot be built."""
+def _walk(heads: list[int]) -> list[tuple[int, int, int, int]] | None:
+    """(dependent, stack top, the one under it, next) of each step of oracle(), on plain numbers: the dependent is 0 for a shift, negative for a left arc; no token is -1, the root 0. None as for oracle()."""
+    n = len(heads)
+    waiting = [0] * (n + 1)
+    for h in heads:
+        if 0 <= h <= n:
+            waiting[h] += 1
+    stack, top, under, at, steps = [], 0, -1, 1, []  # stack holds what lies below under
+    attached = 0
+    while at <= n or under >= 0:
+        if under > 0 and heads[under - 1] == top:
+            steps.append((-under, top, under, at))
+            waiting[top] -= 1
+            attached += 1
+            under = stack.pop() if stack else -1
+        elif top > 0 and under >= 0 and heads[top - 1] == under and not waiting[top]:
+            steps.append((top, top, under, at))
+            waiting[under] -= 1
+            attached += 1
+            top, under = under, stack.pop() if stack else -1
+        elif at > n:
+            return None
+        else:
+            steps.append((0, top, under, at))
+            if under >= 0:
+                stack.append(under)
+            top, under, at = at, top, at + 1
+    return steps if attached == n else None
+
+
+def step_counts(sentences: DataFrame) -> DataFrame:
+    """(sent_id, steps, shifts, ok) of (sent_id, heads): steps to the tree, 0 and not ok for one that cannot be built."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sent_id", "step", "s0", "s1", "b0", "b1", "move", "label"]
-        types = [pa.int64(), pa.int32()] + [pa.string()] * 6
         for batch in batches:
-            rows = []
-            for sid, heads, labels, tags in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                steps = oracle(heads, labels, tags)
-                rows += [(sid, None, None, None, None, None, None, None)] if steps is None else [(sid, k, *f, move, label) for k, (f, move, label) in enumerate(steps)]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            walks = [_walk(h) for h in batch.column(1).to_pylist()]
+            steps = [len(w or ()) for w in walks]
+            shifts = [sum(not x[0] for x in w or ()) for w in walks]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(steps, pa.int64()), pa.array(shifts, pa.int64()), pa.array([w is not None for w in walks], pa.bool_())], ["sent_id", "steps", "shifts", "ok"])
 
-    held = sentences.select(F.col("sent_id").cast("long"), "heads", "labels", "tags")
-    return held.mapInArrow(run, "sent_id long, step int, s0 string, s1 string, b0 string, b1 string, move string, label string")
+    return sentences.select(F.col("sent_id").cast("long"), "heads").mapInArrow(run, "sent_id long, steps long, shifts long, ok boolean")
 
 
 def training_counts(sentences: DataFrame) -> DataFrame:
-    """(s0, s1, b0, b1, code, n) over the oracle steps of all trees that can be built."""
-    steps = oracle_steps(sentences).filter("move is not null")
-    return steps.select("s0", "s1", "b0", "b1", encode_label(F.col("move"), F.col("label")).alias("code")).groupBy("s0", "s1", "b0", "b1", "code").agg(F.count(F.lit(1)).alias("n"))
+    """(s0, s1, b0, b1, code, n) over the oracle steps of all trees (heads, labels, tags) that can be built. Each task counts its own before they are added up."""
+    names = ["s0", "s1", "b0", "b1", "move", "label"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for heads, labels, tags in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                walk = _walk(heads)
+                if walk:
+                    # places 0 .. n + 2: the root, the tokens, none twice; so -1 is none, too
+                    at, name = [ROOT_TAG, *tags, NO_TAG, NO_TAG], [None, *labels]
+                    found.update([(at[s0], at[s1], at[b], at[b + 1], d, None) if not d else (at[s0], at[s1], at[b], at[b + 1], 1 if d > 0 else -1, name[abs(d)]) for d, s0, s1, b in walk])
+        rows = [(*k[:4], (SHIFT, RIGHT, LEFT)[k[4]], k[5], c) for k, c in found.items()]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:6]), pa.array(columns[6], pa.int64())], [*names, "n"])
+
+    counted = sentences.select("heads", "labels", "tags").mapInArrow(run, ", ".join(f"{c} string" for c in names) + ", n long")
+    return counted.select("s0", "s1", "b0", "b1", encode_label(F.col("move"), F.col("label")).alias("code"), "n").groupBy("s0", "s1", "b0", "b1", "code").agg(F.sum("n").alias("n"))
 
 
-def crossing(arcs: DataFrame) -> DataFrame:
-    """Distinct sent_id of sentences with two crossing arcs. arcs: (sent_id, head, dep). Arcs of neighbours cross nothing and are left out first."""
-    a = arcs.select("sent_id", F.least("head", "dep").alias("lo"), F.greatest("head", "dep").alias("hi")).filter("hi - lo > 1")
-    b = a.select("sent_id", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    return a.join(b, "sent_id").filter("lo < lo2 and lo2 < hi and hi < hi2").select("sent_id").distinct()
+def crosses(arcs: Column) -> Column:
+    """Whether two arcs of an array of (head, dep) cross. Arcs of neighbours cross nothing and are left out first."""
+    far = F.filter(F.transform(arcs, lambda a: F.struct(F.least(a["head"], a["dep"]).alias("lo"), F.greatest(a["head"], a["dep"]).alias("hi"))), lambda a: a["hi"] - a["lo"] > 1)
+    return F.exists(far, lambda a: F.exists(far, lambda b: (a["lo"] < b["lo"]) & (b["lo"] < a["hi"]) & (a["hi"] < b["hi"])))
 
 
 def train(counts: DataFrame) -> tuple[object, list[str]]:
@@ -155,33 +196,53 @@ def ranking(model: object, codes: list[str], counts: DataFrame) -> dict[tuple[st
     return {tuple(r[:4]): [c for _, c in sorted((-round(p, 9), code) for p, code in zip(r[4], codes, strict=True))] for r in scored.collect()}
 
 
-def parse(tags: list[str], ranks: dict[tuple[str, str, str, str], list[str]]) -> list[tuple[int, int, str]]:
-    """(head, dep, label) of each token, by dependent: the likeliest transition that applies, until all is read."""
-    at = Configuration(len(tags))
+def parse(tags: list[str], ranks: dict[tuple[str, str, str, str], list[str]], memo: dict | None = None) -> list[tuple[int, int, str]]:
+    """(head, dep, label) of each token, by dependent: the likeliest transition that applies, until all is read. memo: what was chosen before, by tags and what applies; for the same ranks."""
+    n, memo = len(tags), {} if memo is None else memo
+    at = [ROOT_TAG, *tags, NO_TAG, NO_TAG]
     default = next(iter(ranks.values()), [])
-    for _ in range(4 * len(tags) + 5):
-        if at.done:
+    arcs: list = [None] * (n + 1)
+    stack, top, under, ahead = [], 0, -1, 1  # stack holds what lies below under
+    for _ in range(4 * n + 5):
+        if ahead > n and under < 0:
             break
-        legal = at.legal()
-        move, label = (SHIFT, None) if SHIFT in legal else (RIGHT, "dep")
-        for code in ranks.get(at.features(tags), default):
-            name, _, rest = code.partition(":")
-            if name in legal:
-                move, label = name, rest or None
-                break
-        at.apply(move, label)
-    headed = {d for _, d, _ in at.arcs}
-    return sorted(at.arcs + [(0, i, "dep") for i in range(1, len(tags) + 1) if i not in headed], key=lambda a: a[1])
+        key = (at[top], at[under], at[ahead], at[ahead + 1], under > 0, under >= 0, ahead <= n)
+        chosen = memo.get(key)
+        if chosen is None:
+            legal = [LEFT] * (under > 0) + [RIGHT] * (under >= 0) + [SHIFT] * (ahead <= n)
+            chosen = (SHIFT, None) if SHIFT in legal else (RIGHT, "dep")
+            for code in ranks.get(key[:4], default):
+                name, _, rest = code.partition(":")
+                if name in legal:
+                    chosen = name, rest or None
+                    break
+            memo[key] = chosen
+        move, label = chosen
+        if move == SHIFT:
+            if under >= 0:
+                stack.append(under)
+            top, under, ahead = ahead, top, ahead + 1
+        elif move == LEFT:
+            arcs[under] = (top, under, label or "dep")
+            under = stack.pop() if stack else -1
+        else:
+            arcs[top] = (under, top, label or "dep")
+            top, under = under, stack.pop() if stack else -1
+    return [arcs[i] or (0, i, "dep") for i in range(1, n + 1)]
 
 
 def parse_sentences(sentences: DataFrame, ranks: dict) -> DataFrame:
-    """(sent_id, idx, p_head, p_label) of (sent_id, tags)."""
+    """sentences with p_heads and p_labels, arrays as long as the column tags."""
     held = sentences.sparkSession.sparkContext.broadcast(ranks)
+    columns = [*sentences.columns, "p_heads", "p_labels"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict = {}
         for batch in batches:
-            rows = [(sid, d, h, label) for sid, tags in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for h, d, label in parse(tags, held.value)]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["sent_id", "idx", "p_head", "p_label"])
+            parsed = [parse(tags, held.value, memo) for tags in batch.column(batch.schema.get_field_index("tags")).to_pylist()]
+            heads = pa.array([[a[0] for a in p] for p in parsed], pa.list_(pa.int32()))
+            labels = pa.array([[a[2] for a in p] for p in parsed], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, heads, labels], columns)
 
-    return sentences.select(F.col("sent_id").cast("long"), "tags").mapInArrow(run, "sent_id long, idx int, p_head int, p_label string")
+    schema = StructType([*sentences.schema.fields, StructField("p_heads", ArrayType(IntegerType())), StructField("p_labels", ArrayType(StringType()))])
+    return sentences.mapInArrow(run, schema)

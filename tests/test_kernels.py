@@ -88,3 +88,32 @@ def test_models_by_chunk_are_whole_models(spark, monkeypatch):
     monkeypatch.setattr(H, "MODEL_ROWS", 2)
     out = H.tag_sentences(spark.createDataFrame(list(enumerate(texts)), "sent_id long, ws array<string>"), "ws", tagged)
     assert {r.sent_id: r.pred for r in out.collect()} == {i: whole.tag(t or []) for i, t in enumerate(texts)}
+
+
+def test_walk_and_parse_follow_the_configuration():
+    """The kernels on plain numbers take the steps of oracle() and of Configuration, for trees, crossing arcs and heads out of range."""
+    import random
+
+    draw = random.Random(5)
+    tags = ["A", "B", "C"]
+    codes = [D.SHIFT, f"{D.LEFT}:x", f"{D.RIGHT}:y", f"{D.RIGHT}:root"]
+    every = [*tags, D.NO_TAG, D.ROOT_TAG]
+    ranks = {(a, b, c, d): draw.sample(codes, draw.randint(0, 4)) for a in every for b in every for c in every for d in every}
+    for _ in range(3000):
+        n = draw.randint(0, 7)
+        heads = [draw.choice([i - 1, i + 1, draw.randint(-1, n + 1)]) if draw.random() < 0.8 else 0 for i in range(1, n + 1)]
+        tag = [draw.choice(tags) for _ in heads]
+        steps, walk = D.oracle(heads, [str(i) for i in range(1, n + 1)], tag), D._walk(heads)
+        at = [D.ROOT_TAG, *tag, D.NO_TAG, D.NO_TAG]
+        got = None if walk is None else [((at[a], at[b], at[c], at[c + 1]), D.SHIFT if not d else D.RIGHT if d > 0 else D.LEFT, str(abs(d)) if d else None) for d, a, b, c in walk]
+        assert got == steps
+        c = D.Configuration(n)
+        while not c.done:
+            legal = c.legal()
+            move, label = (D.SHIFT, None) if D.SHIFT in legal else (D.RIGHT, "dep")
+            for code in ranks[c.features(tag)]:
+                if code.partition(":")[0] in legal:
+                    move, label = code.partition(":")[0], code.partition(":")[2] or None
+                    break
+            c.apply(move, label)
+        assert D.parse(tag, ranks) == sorted(c.arcs, key=lambda a: a[1])
