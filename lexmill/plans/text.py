@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import accumulate, pairwise
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexmill.functions import strings as S
 from lexmill.functions import tags as G
@@ -82,18 +85,18 @@ def _in(words: tuple[str, ...]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-def conllu_like_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unspaced text and character spans of every sentence."""
-    t = V.tok(spark, sf_dir)
-    before = Window.partitionBy("sent_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("w")).over(before), F.lit(0))
-    return t.select("sent_id", "idx", "w", start.cast("long").alias("s"), (start + F.length("w")).cast("long").alias("e"))
-
-
 def unspaced_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = conllu_like_spans(spark, sf_dir)
-    held = spans.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("idx", "w", "s", "e"))).alias("t"))
-    return held.select("sent_id", F.array_join(F.transform("t", lambda x: x["w"]), "").alias("text"), F.array_join(F.transform("t", lambda x: F.concat_ws("-", x["s"].cast("string"), x["e"].cast("string"))), ",").alias("spans"))
+    """Unspaced text and character spans of every sentence."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = [], []
+            for ws in batch.column(1).to_pylist():
+                ends = list(accumulate(map(len, ws), initial=0))
+                texts.append("".join(ws))
+                spans.append(",".join([f"{a}-{b}" for a, b in pairwise(ends)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(spans, pa.string())], ["sent_id", "text", "spans"])
+
+    return V.tagged_sentences(spark, sf_dir).select("sent_id", "ws").mapInArrow(run, "sent_id long, text string, spans string")
 
 
 def corpus_union_split(spark: SparkSession, sf_dir: str) -> DataFrame:
