@@ -117,3 +117,20 @@ def test_walk_and_parse_follow_the_configuration():
                     break
             c.apply(move, label)
         assert D.parse(tag, ranks) == sorted(c.arcs, key=lambda a: a[1])
+
+
+def test_word_set_is_exact_and_unbounded(spark, monkeypatch):
+    """A vocabulary of more than MODEL_ROWS words is held whole, and holds nothing else."""
+    import pickle
+
+    from lexmill.operators import wordset as W
+
+    words = [f"w{i}" for i in range(400)] + ["é", "日本語", "foxes", "fox", "the", "quick"]
+    held = pickle.loads(pickle.dumps(W.gather(spark.createDataFrame([(w, len(w)) for w in words], "w string, c long"))))
+    assert all(held.get(w) == len(w) for w in words)
+    assert not any(x in held for x in ("", "w", "4", "w400", "ox", "fo", "2", "e"))
+    assert W.gather(spark.createDataFrame([], "w string, c long")).get("a") is None
+    monkeypatch.setattr(H, "MODEL_ROWS", 10)
+    vocab = spark.createDataFrame([(w,) for w in words], "w string")
+    out = G.segment_greedy(spark.createDataFrame([("Thequickfoxes!",), (None,)], "text string"), vocab)
+    assert [r.words for r in out.collect()] == [["the", "quick", "foxes", "!"], []]
