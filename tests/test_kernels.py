@@ -134,3 +134,26 @@ def test_word_set_is_exact_and_unbounded(spark, monkeypatch):
     vocab = spark.createDataFrame([(w,) for w in words], "w string")
     out = G.segment_greedy(spark.createDataFrame([("Thequickfoxes!",), (None,)], "text string"), vocab)
     assert [r.words for r in out.collect()] == [["the", "quick", "foxes", "!"], []]
+
+
+def test_search_by_chunk_is_the_whole_model(spark, monkeypatch):
+    """Pairs and triples come by joins: a model of more than its rows' limit is searched as if it were gathered whole."""
+    import random
+
+    from lexmill.operators import lm as M
+
+    draw = random.Random(3)
+    some = ["a", "ab", "ba", "abc", "cab", "b", "the", "fox", "thefox", "x" * 27]
+    rows = spark.createDataFrame([([draw.choice(some) for _ in range(draw.randint(3, 9))],) for _ in range(80)], "ws array<string>")
+    m = M.interpolated(rows, F.col("ws"))
+    pick = lambda frame: {tuple(r[:-1]) if len(r) > 2 else r[0]: r[-1] for r in frame.collect()}
+    whole = G.Model(pick(m.uni), pick(m.bi), pick(m.tri), pick(m.ch2), pick(m.ch3), m.total, m.chars)
+    texts = ["".join(draw.choice(some + ["zz", "q"]) for _ in range(draw.randint(1, 12))) for _ in range(40)] + ["", None, "x" * 27, " ABthefox "]
+    monkeypatch.setattr(H, "MODEL_ROWS", 60)
+    monkeypatch.setattr(G, "_rows", lambda frame, what: frame.collect() if what == "the character table" else H._rows(frame, what))
+    out = G.segment_search(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), G.model(rows, F.col("ws")))
+    assert {r.i: r.words for r in out.collect()} == {i: whole.segment(t or "") for i, t in enumerate(texts)}
+    use = lambda part, t: t.append_column("p", [[part.probability("<s>", "<s>", x or "") for x in t["text"].to_pylist()]])
+    frame = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = G.by_chunk(frame, "text", G.model(rows, F.col("ws")), use, frame.withColumn("p", F.lit(0.5)).schema)
+    assert {r.i: r.p for r in got.collect()} == {i: whole.probability("<s>", "<s>", t or "") for i, t in enumerate(texts)}
