@@ -188,10 +188,10 @@ def ranking(model: object, codes: list[str], counts: DataFrame) -> dict[tuple[st
     from pyspark.ml.functions import vector_to_array
 
     tags = sorted({r[0] for c in ("s0", "s1", "b0", "b1") for r in counts.select(c).distinct().collect()} | {NO_TAG, ROOT_TAG})
-    grid = counts.sparkSession.createDataFrame([(t,) for t in tags], "t string")
-    for c in ("s0", "s1", "b0", "b1"):
-        one = counts.sparkSession.createDataFrame([(t,) for t in tags], f"{c} string")
-        grid = grid.crossJoin(one) if c != "s0" else one
+    k = len(tags)
+    # one range: joins of four small tables have as many tasks as the fourth power of their parts
+    name = lambda power: F.get(F.array(*(F.lit(t) for t in tags)), F.pmod(F.floor(F.col("id") / k**power), F.lit(k)).cast("int"))
+    grid = counts.sparkSession.range(k**4).select(*(name(3 - i).alias(c) for i, c in enumerate(("s0", "s1", "b0", "b1"))))
     scored = model.transform(grid).select("s0", "s1", "b0", "b1", vector_to_array("probability").alias("p"))
     return {tuple(r[:4]): [c for _, c in sorted((-round(p, 9), code) for p, code in zip(r[4], codes, strict=True))] for r in scored.collect()}
 
